@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import WORD, numbered, written
 
 #: Documents of a bucket on average; residuals that meet in one group of the tree.
-BUCKET, FAN_IN = 20_000, 256
+BUCKET, FAN_IN = 2_000, 256
 #: Most words of a mix, in multiples of a source's size; the sources' weights by rank, repeating.
 MOST, WEIGHTS = 3, (1, 2, 3)
 EPS = 1e-12
