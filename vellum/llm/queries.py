@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import fingerprints, mixing, pieces, simhash, substrings, token_counts, topk, toxicity
+from vellum.llm import fingerprints, mixing, pieces, pii, simhash, substrings, token_counts, topk, toxicity
 from vellum.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substrings": op4_substrings,
         "op5_pieces": op5_pieces,
         "op6_topk": op6_topk,
+        "op7_pii": op7_pii,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
     }
