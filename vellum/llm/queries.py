@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import fingerprints, mixing, pieces, pii, simhash, substrings, token_counts, topk, toxicity
+from vellum.llm import fingerprints, html_text, mixing, pieces, pii, simhash, substrings, token_counts, topk, toxicity
 from vellum.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
+        "op10_main_text": op10_main_text,
     }
 
 
