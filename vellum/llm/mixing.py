@@ -80,7 +80,7 @@ def source_targets(sizes: DataFrame, most: float = MOST, weights: tuple[float, .
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every document; taken = copies * size.
+    """(id, source, size, source_size, target, copies, taken) of every document; taken = copies * size.
 
     Size counts the words of the text; a null or empty text has size 0 and is not taken. A null source is
     a source of its own. Repeated rows, of the same id and text, are rounded one by one and draw apart.
@@ -127,6 +127,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for r in rounds[1:]:
         ups = ups.unionByName(r)
     ups = ups.filter("up > 0").select(F.col("source").alias("s"), F.col("key").alias("k"), "up")
-    out = units.join(ups, units["source"].eqNullSafe(ups["s"]) & (units["key"] == ups["k"]), "left")
+    out = units.join(ups, units["source"].eqNullSafe(ups["s"]) & units["key"].eqNullSafe(ups["k"]), "left")
     copies = (F.col("copies") + F.coalesce("up", F.lit(0))).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
+    """docs with each row as often as the mix takes it, all columns kept; rows without words stay once.
+
+    Rows with one id, source and number of words are alike to the mix: the first of them, by text, stands
+    for all their copies.
+    """
+    counted = docs.withColumn("_size", F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long"))
+    taken = mix(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"))
+    taken = written(taken.agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_alike")).filter("_n > 0 and _copies > 0"), "taken")
+    met = counted.join(taken, counted[id_col].eqNullSafe(taken["_id"]) & counted[source_col].eqNullSafe(taken["_source"]) & (counted["_size"] == taken["_n"]))
+    if taken.filter("_alike > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("_id", "_source", "_n").orderBy(text_col)) == 1
+        met = met.withColumn("_first", first).filter("_first")
+    out = met.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*docs.columns).unionByName(docs.filter(F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)) == 0))

@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -231,3 +232,22 @@ def encode_digests(docs: DataFrame, model: str, unigram: bool = False) -> DataFr
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_pieces long, pieces_sha256 string, decoded_sha256 string, round_trip boolean")
+
+
+def with_pieces(docs: DataFrame, model: str) -> DataFrame:
+    """docs with pieces array<int>, n_pieces long and round_trip: whether decoding gives the text again, marks read as spaces."""
+    fields = [f for f in docs.schema.fields if f.name not in ("pieces", "n_pieces", "round_trip")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model)
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            ids = m.encode(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+            same = pa.array([t.replace(MARK, " ") == m.decode(x) for t, x in zip(texts, ids, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat), pa.array(sizes), same], [*b.schema.names, "pieces", "n_pieces", "round_trip"])
+
+    schema = T.StructType([*fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    return docs.select([f.name for f in fields]).mapInArrow(run, schema)
