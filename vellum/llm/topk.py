@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import parallelism, written
 
 #: Vectors of a block; queries and candidates that are scored together; dimensions of a group.
 BLOCK, QUERIES, SLICE, GROUP = 4096, 256, 1024, 16
@@ -44,7 +44,7 @@ def packed(rows: DataFrame, id_col: str, vector_col: str, scale: int, block: int
             for i, (_, v) in enumerate(part):
                 matrix[: len(v), i] = v
             number += 1
-            return pa.RecordBatch.from_pylist([{"block": number, "n": len(part), "dims": dims, "ids": np.array([i for i, _ in part], np.int64).tobytes(), "vectors": matrix.tobytes()}], pa.schema([("block", pa.int64()), ("n", pa.int64()), ("dims", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"block": number, "n": len(part), "dims": dims, "ids": np.array([i for i, _ in part], np.int64).tobytes(), "vectors": matrix.astype(np.int32 if np.abs(matrix).max(initial=0) < 2**31 else np.float64).tobytes()}], pa.schema([("block", pa.int64()), ("n", pa.int64()), ("dims", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
         for b in batches:
             values = b.column(1)
@@ -65,6 +65,11 @@ def packed(rows: DataFrame, id_col: str, vector_col: str, scale: int, block: int
     return rows.select(id_col, vector_col).mapInArrow(run, _BLOCKS)
 
 
+def unpacked(raw: bytes, dims: int, n: int) -> np.ndarray:
+    kind = np.int32 if len(raw) == 4 * dims * n else np.float64
+    return np.frombuffer(raw, kind).reshape(dims, n).astype(np.float64)
+
+
 def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best candidates; q and c have one row per dimension."""
     dims = max(len(q), len(c))
@@ -122,14 +127,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     numbers = [r["block"] for r in asked.select("block").collect()]  # one number per `block` queries
     given = packed(rows, id_col, vector_col, scale, block)
     given = given.withColumn("at", F.explode(F.lit(numbers).cast("array<bigint>") if numbers else F.expr("array(cast(null as bigint))")))
-    pairs = given.join(asked.select(F.col("block").alias("at"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims")), "at")
+    # candidates are salted, so that one query block is answered by many tasks; AQE must not put these small, slow parts together
+    salts = parallelism(rows.sparkSession)
+    given = given.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).repartition(salts, "at", "salt")
+    asked = asked.select(F.col("block").alias("at"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "at", "salt")
+    pairs = given.join(asked.hint("merge"), ["at", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q_vectors"], np.float64).reshape(r["q_dims"], len(q_ids))
-                c = np.frombuffer(r["vectors"], np.float64).reshape(r["dims"], len(c_ids))
+                q, c = unpacked(r["q_vectors"], r["q_dims"], len(q_ids)), unpacked(r["vectors"], r["dims"], len(c_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(q_ids, q, c_ids, c, k)], ["query_id", id_col, "score"])
 
     found = pairs.select("ids", "vectors", "dims", "q_ids", "q_vectors", "q_dims").mapInArrow(run, f"query_id long, {id_col} long, score long")
