@@ -83,7 +83,7 @@ def rejection(after: str, h: dict) -> tuple[int, int, str]:
     text = "\n".join(h["removed"])
     if h["after_start"] == 0:
         return 0, len(after), text
-    return begin(h["after_start"]) - 1, len(after), f"\n{text}" if text else ""
+    return begin(h["after_start"]) - 1, len(after), f"\n{text}" if h["removed"] else ""
 
 
 def reverted(doc: str, found: list[dict]) -> str:

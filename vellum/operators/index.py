@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import BARS
 from vellum.functions.text import clean, counted, in_folders, language_hits, stem, tokens
+from vellum.storage import kept
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def build(notes: DataFrame, exclude: list[str] = (), lang: str | None = None) ->
     """The index of the notes. The language is detected unless given, and stays the index's own."""
     notes = notes.withColumn("excluded", in_folders(F.col("path"), list(exclude)))
     lang = lang or detect_language(notes).first()["lang"]
-    counts = stem_counts(notes, lang)
+    counts = kept(stem_counts(notes, lang), "counts")  # every other table starts from it
     top = top_stems(counts).withColumn("excluded", in_folders(F.col("path"), list(exclude)))
     return NoteIndex(notes, counts, top, discriminating(notes, counts), lang)
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Where a mention may start: at a letter or digit that follows none, for the index; after no word character or bracket, for links.
 INDEX_START = r"(?<![a-z0-9])(?=[a-z0-9])"
 LINK_START = r"(?<![A-Za-z0-9_\[])(?=.)"
+#: Most titles that are broadcast as a filter.
+FILTERED = 100_000
 
 
 def grep(notes: DataFrame, queries: list[str]) -> DataFrame:
@@ -36,15 +38,19 @@ def mentions(notes: DataFrame, titles: DataFrame, start: str = INDEX_START) -> D
     """(title, path): notes whose lower-case body holds a title from a start on; titles of two characters or more.
 
     Only as many lengths as the titles have are cut from each start, and these grams meet the titles by
-    equality: neither side is broadcast, and no note is held against every title.
+    equality; no note is held against every title. Up to FILTERED titles they are broadcast, to
+    leave out most grams before the shuffle; beyond that all grams are shuffled.
     """
     keyed = titles.filter(F.length("title") >= 2).select("title", F.lower("title").alias("low") if start == LINK_START else F.col("title").alias("low")).distinct()
     sizes = sorted(r["n"] for r in keyed.select(F.length("low").alias("n")).distinct().collect())
     begins = re.compile(start, re.S)
+    few = keyed.select("low").distinct().limit(FILTERED + 1).collect()
+    known = notes.sparkSession.sparkContext.broadcast(frozenset(r["low"] for r in few) if len(few) <= FILTERED else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = known.value
         for b in batches:
-            found = {(p, t[m.start() : m.start() + n]) for p, t in zip(b["path"], b["low"], strict=True) for m in begins.finditer(t) for n in sizes if m.start() + n <= len(t)}
+            found = {(p, t[m.start() : m.start() + n]) for p, t in zip(b["path"], b["low"], strict=True) for m in begins.finditer(t) for n in sizes if m.start() + n <= len(t) and (wanted is None or t[m.start() : m.start() + n] in wanted)}
             yield pd.DataFrame(list(found), columns=["path", "low"])
 
     grams = notes.select("path", F.lower(F.coalesce("content", F.lit(""))).alias("low")).mapInPandas(run, "path string, low string")

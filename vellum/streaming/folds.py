@@ -73,8 +73,11 @@ def chat_turns(frames: DataFrame) -> DataFrame:
     return frames.groupBy("turn").applyInPandas(fold, TURN)
 
 
-def chat_turns_stream(frames: DataFrame) -> DataFrame:
-    """The turns of a stream of frames after each batch; the state of a turn goes when it is done or an hour old."""
+def chat_turns_stream(frames: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    """The turns of a stream of frames after each batch; a turn's state goes when it is done, or silent for expire_ms.
+
+    With expire_ms the query keeps running batches while it waits, so it never comes to rest by itself.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -91,10 +94,11 @@ def chat_turns_stream(frames: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update((json.dumps(turn),))
-            state.setTimeoutDuration(3_600_000)
+            if expire_ms:
+                state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame([{"turn": key[0], **turn}])
 
-    return frames.groupBy("turn").applyInPandasWithState(fold, TURN, "turn string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("turn").applyInPandasWithState(fold, TURN, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout)
 
 
 def conversation_texts(conversations: DataFrame) -> DataFrame:
