@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import BARS
 from vellum.operators.index import NoteIndex
+from vellum.storage import kept
 
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -27,10 +28,11 @@ def scored_pairs(index: NoteIndex, tau: float = BARS.orphan) -> DataFrame:
     first |x| - ceil(tau |x|) + 1, so only these are joined; the commonest stems never meet. A pair is kept
     where the stem they met on is the first they share, so it comes once without being made distinct.
     """
-    top = index.top.filter("not excluded").select("path", "stem")
+    # stems as 64-bit hashes: the sets stay small, and their intersection is compiled code over longs
+    top = index.top.filter("not excluded").select("path", F.xxhash64("stem").alias("stem"))
     often = top.groupBy("stem").agg(F.count("*").alias("f"))
     sets = top.join(often, "stem").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("f", "stem"))).alias("s"))
-    sets = sets.select("path", F.col("s.stem").alias("stems"))
+    sets = kept(sets.select("path", F.col("s.stem").alias("stems")), "sets")  # both sides of the join read it
     size = F.size("stems")
     need = F.ceil(size * F.lit(round(tau * 10**6)).cast("long") / F.lit(10**6) - 1e-9)
     prefix = F.explode(F.slice("stems", F.lit(1), (size - need + 1).cast("int"))).alias("stem")
