@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import basename, normal
+from vellum.storage import spread
 
 NOTES = "path string, basename string, mtime long, content string"
 
@@ -31,7 +32,7 @@ def path_of(number: Column, source: Column) -> Column:
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, basename, mtime, content, title): documents as notes; the title is the first two tokens."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     path = path_of(F.col("doc_id"), F.col("source"))
     first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), 1, 2)
     return docs.select(path.alias("path"), basename(path).alias("basename"), F.col("doc_id").alias("mtime"), F.coalesce("text", F.lit("")).alias("content"), F.array_join(first, " ").alias("title"))

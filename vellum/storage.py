@@ -21,3 +21,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan, dealt to all cores where its files give fewer tasks than that; large tables are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
