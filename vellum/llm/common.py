@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.storage import spread
+
 #: Words and white space of the contracts: space and U+0009 to U+000D part words, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the directory. Arrow batches are kept small: a text may have 10^5 characters and more."""
     ship(spark)
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
