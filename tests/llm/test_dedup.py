@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vellum.llm import simhash, substrings
+from vellum.llm import common, simhash, substrings
 
 SCHEMA = "doc_id long, text string, component_id long, run string"
 
@@ -47,14 +47,24 @@ def removed_by_definition(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings_match_the_definition(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 10_000), (2, 3)])
+def test_substrings_match_the_definition(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = corpus(seed)
     got = substrings.deduplicate(spark.createDataFrame(rows, SCHEMA), digest=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed_by_definition(rows)
     assert sum(r.n_removed for r in got) > 1000
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_join_like_others(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    big = spark.createDataFrame([(k, v) for v, k in enumerate([1, 1, 1, 2, 3, 3, 3, 4, None])], "k long, v long")
+    small = spark.createDataFrame([(1, "a", 3), (2, "b", 1), (3, None, 3), (7, "c", 9), (None, "d", 1)], "k long, x string, n long")
+    want = sorted(map(tuple, big.join(small.drop("n"), "k", how).collect()), key=str)
+    assert sorted(map(tuple, common.hot_join(big, small, "k", "n", how).collect()), key=str) == want
+
+
 def test_substrings_edge_cases(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert substrings.deduplicate(docs).count() == 0

@@ -71,6 +71,26 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot from so many rows on, and if it has over 1 / HOT_KEYS of all rows: there are at most HOT_KEYS such keys.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
+    """big joined with small on key (inner, left or left_semi); small has one row per key and, in `count`, big's rows of it.
+
+    Rows of hot keys meet a broadcast of small's rows, at most HOT_KEYS, and are not shuffled; all other
+    rows are joined by a shuffle in which no key is hot. small is read several times: give a written table.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = small.agg(F.sum(count).alias("n")).first()["n"] or 0
+    many = F.col(count) > max(HOT_ROWS, total / HOT_KEYS)
+    hot, cold = small.filter(many).drop(count), small.filter(~many).drop(count)
+    if not hot.limit(1).count():
+        return big.join(small.drop(count), keys, how)
+    rest = big.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner").unionByName(rest.join(cold, keys, how))
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with the column `name`: each row's rank from 1 in the given order over all rows, without a single task.
 

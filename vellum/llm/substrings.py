@@ -10,7 +10,7 @@ later one loses it: one row per run, not per window. The runs at the ends of a s
 outside it; for one occurrence of each run of an anchor that has several, the extension is settled word
 by word: its windows are hashed one by one and meet by hash. The union of the windows found in a smaller
 document is the maximal repeat, and its words go. Copies meet as (run, smallest document), pre-aggregated
-on the map side, never as pairs.
+on the map side, never as pairs. Anchors, runs and windows with very many rows are joined apart.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import hot_join, written
 
 #: Words of a window, and of an anchor.
 WINDOW, GRAM = 50, 16
@@ -122,16 +122,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first and n: a run's windows; mask: null for all of them, else the bits of those that repeat.
     """
     found = written(anchors(docs, window), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    found = written(found.join(shared, "anchor", "left_semi"), "shared")
-    kinds = written(found.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "first", "n")).alias("at")), "runs")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    wanted = kinds.join(several, "anchor", "left_semi").groupBy(F.col("at.doc_id").alias("doc")).agg(F.collect_list(F.struct("run", "at.first", "at.n")).alias("runs"))
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("anchor", "rows")
+    found = written(hot_join(found, written(shared, "anchors-shared"), "anchor", "rows", "left_semi"), "shared")
+    kinds = written(found.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "first", "n")).alias("at"), F.count("*").alias("copies")), "runs")
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "several")
+    wanted = hot_join(kinds, several, "anchor", "kinds", "left_semi").groupBy(F.col("at.doc_id").alias("doc")).agg(F.collect_list(F.struct("run", "at.first", "at.n")).alias("runs"))
     single = written(window_hashes(docs, wanted, window), "windows")
-    least = single.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window", "lo")
-    masks = single.join(least, "window").filter("doc_id > lo").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
-    settled = kinds.select("run", F.col("at.doc_id").alias("lo")).join(masks, "run", "left")
-    spans = found.join(settled, "run").filter("doc_id > lo or mask is not null")
+    least = single.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("window", "lo", "rows")
+    masks = hot_join(single, written(least, "least"), "window", "rows").filter("doc_id > lo").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
+    settled = written(kinds.select("run", F.col("at.doc_id").alias("lo"), "copies").join(masks, "run", "left"), "settled")
+    spans = hot_join(found, settled, "run", "copies").filter("doc_id > lo or mask is not null")
     spans = spans.select(F.col("doc_id").alias("doc"), F.struct("first", "n", F.when(F.col("doc_id") > F.col("lo"), F.lit(None)).otherwise(F.col("mask")).cast("long").alias("mask")).alias("span"))
     return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
