@@ -98,7 +98,8 @@ def components_by_definition(fps):
     return {d: find(d) for d in ids}
 
 
-def test_simhash_matches_the_definition(spark):
+def test_simhash_matches_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = corpus(3)
     base = next(t for _, t, *_ in rows if t and len(t.split()) > 200)
     rows += [(1000 + i, base + f" extra{i}", 0, "") for i in range(20)] + [(2000, "One TWO ÄÖ three", 0, ""), (2001, "one two ÄÖ three", 0, "")]
@@ -134,7 +135,8 @@ def test_pivots_never_part_a_near_pair():
     assert len(i) >= 300 and (np.bitwise_count(fps[i] ^ fps[j]) <= 2).all()
 
 
-def test_components_of_a_long_path(spark):
+def test_components_of_a_long_path(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     n = 40
     order = list(range(n))
     random.Random(1).shuffle(order)

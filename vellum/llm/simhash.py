@@ -9,6 +9,7 @@ as soon as one coordinate differs by more, and what survives is verified bit by
 
 A band with more than BAND fingerprints is cut again by three blocks of its remaining bits, and so on:
 nothing is dropped, and a band of fingerprints that agree in all but r bits has at most 2^r of them.
+Rows of very common bands, nodes and fingerprints are joined apart from the others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import hot_join, written
 
 #: Reference fingerprints, and the most fingerprints of a band that one task compares.
 PIVOTS, BAND = 32, 4096
@@ -119,8 +120,8 @@ def links(nodes: DataFrame, band: int = BAND) -> DataFrame:
             by = F.array(*[F.array(*subs[3 * i : 3 * i + 3]) for i in range(len(masks))])
             keys = by[F.col("mask")]
         rows = todo.select("fp", "node", F.explode(keys).alias("at")).select("fp", "node", "at.mask", "at.key")
-        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = written(rows.join(sizes, ["mask", "key"]), "bands")
+        sizes = written(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n")), "sizes")
+        rows = written(hot_join(rows, sizes, ["mask", "key"], "rows"), "bands")
         small = rows.filter(F.col("n") <= band).groupBy("mask", "key").agg(F.collect_list(F.struct("fp", "node")).alias("all"))
         pairs = small.select("all").mapInArrow(run, "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
@@ -138,12 +139,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("a", "b"), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["c"]).filter(both["b"] > both["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = hot_join(both, written(least, "least"), "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.filter("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "c")
-        joined = large.join(low, large["a"] == low["c"])
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("c").alias("a"), F.col("m").alias("b")))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        joined = hot_join(large, low, "a", "n")
+        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = written(small.distinct(), "small")
         centres = edges.select(F.col("b").alias("c")).distinct()
         if not edges.join(centres, edges["a"] == centres["c"], "left_semi").limit(1).count():
@@ -165,8 +166,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     top = components(pairs).withColumnRenamed("b", "top")
     named = nodes.join(top, nodes["node"] == top["a"], "left").join(ends, nodes["node"] == ends["c"], "left")
-    named = named.select(F.col("fp").alias("f"), F.coalesce("top", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = fps.join(named, fps["fp"] == named["f"])
+    named = named.select("fp", F.coalesce("top", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
+    out = hot_join(fps, written(named, "named"), "fp", "copies")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
