@@ -37,6 +37,29 @@ def test_blocks_follow_the_page():
     assert [b.text for b in html_text.blocks("<p>a<!-- open")] == ["a"]
 
 
+def test_only_hidden_elements_are_silent():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    for tag in ('style="overflow-x:hidden"', "class=overflow-hidden", 'aria-hidden="false"', 'title="a hidden cost"', 'data-hidden="1"', 'style="display:none;display:block"', 'data-style="display:none"'):
+        assert texts(f"<body {tag}><p>text</p></body>") == ["text"], tag
+    assert texts('<p>the <a href="/the-hidden-cost" title="hidden">hidden cost</a> of it</p>') == ["the hidden cost of it"]
+    for tag in ("hidden", 'hidden=""', "HIDDEN", "aria-hidden=true", "aria-hidden = 'TRUE'", 'style="color:red; Display : none"', "style=display:none", 'style="display:none!important;display:block"'):
+        assert texts(f"<div {tag}><p>no</p></div><p>text</p>") == ["text"], tag
+
+
+def test_a_head_ends_without_its_end_tag():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    head = "<html><head><title>t</title><meta name=a><noscript><img src=x></noscript><style>p{}</style>"
+    for rest in ("<body><p>text</p></body>", "<p>text</p>", "<div>text</div>", "\n text", "<noscript>no<body>text", "</head><body>text</body>"):
+        assert texts(head + rest) == ["text"], rest
+
+
+def test_svg_and_math_inside_text():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    assert texts('<p><svg/>text</p>') == texts('<p><svg class="i" />text</p>') == texts("<p><svg><title/><path d='M0'/><g></g></svg>text</p>") == ["text"]
+    assert texts("<p>a <svg width=1/>no</svg>b</p>") == ["a b"] and texts("<div><svg><path d=x><p>text</p></div>") == ["text"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> then</p>") == ["if x=1 then"]
+
+
 def test_extract(spark):
     body = "".join(f"<p>Sentence number {i}, with a comma and an end.</p>" for i in range(2000))
     rows = [(1, "u", f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Title</h1>{body}</article><div class='comments'><p>I agree, nice.</p></div><footer>&copy; me</footer>", "x"), (2, None, None, ""), (3, "v", "", ""), (3, "v", "", "")]

@@ -28,9 +28,14 @@ from pyspark.sql import DataFrame
 TRAINING, SEED, STEPS = 240, 17, 120
 #: Element names of HTML.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul select button textarea label iframe".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select option datalist".split())
+SILENT = frozenset("script style noscript template svg annotation annotation-xml head title iframe object canvas audio video textarea select option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
+#: Start tags that leave an open head open; start tags that end an open svg or math; elements of these two that hold HTML again.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset(("svg", "math"))
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role names, by what they point to.
 HINTS = {
@@ -50,6 +55,8 @@ for _kind, _words in HINTS.items():
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^<]++|<)", re.S)
 NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+BARE = re.compile(r"=\s*[^\s\"'>]+\Z")
 PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -60,7 +67,26 @@ def named(attributes: str) -> tuple[str, ...]:
 
 
 def hidden(attributes: str) -> bool:
-    return bool(re.search(r"(?i)\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes))
+    """Whether a hidden attribute, aria-hidden="true" or a style with display: none makes the element silent."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    first: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(low):
+        first.setdefault(m[1], m[2] or m[3] or m[4] or "")
+    shown, fixed = "", False
+    for declaration in unescape(first.get("style", "")).split(";"):
+        name, _, value = declaration.partition(":")
+        if name.strip() == "display":
+            value, mark, _ = value.partition("!")
+            if mark or not fixed:  # the last one holds, but an important one holds against others
+                shown, fixed = value.strip(), bool(mark)
+    return "hidden" in first or first.get("aria-hidden", "").strip() == "true" or shown == "none"
+
+
+def closed(attributes: str) -> bool:
+    """Whether the tag closes itself; a slash at the end of a bare value is part of the value."""
+    return attributes.endswith("/") and not BARE.search(attributes)
 
 
 class Block:
@@ -75,7 +101,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     pieces: list[str] = []
-    links = silent = linked = 0
+    links = silent = linked = foreign = 0
     html = html or ""
 
     def flush() -> None:
@@ -88,11 +114,12 @@ def blocks(html: str | None) -> list[Block]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal links, silent
+        nonlocal links, silent, foreign
         while len(stack) > to:
             tag, _, quiet = stack.pop()
             links -= tag == "a"
             silent -= quiet
+            foreign -= tag in FOREIGN
 
     at, end = 0, len(html)
     while at < end:
@@ -105,6 +132,8 @@ def blocks(html: str | None) -> list[Block]:
         at = m.end()
         text = m[4]
         if text is not None:
+            if silent and stack[-1][0] == "head" and not text.isspace():
+                pop(len(stack) - 1)
             if not silent:
                 pieces.append(text)
                 if links:
@@ -122,6 +151,17 @@ def blocks(html: str | None) -> list[Block]:
                     continue  # an inline end tag does not close blocks
                 pop(place)
             continue
+        if silent:
+            if tag == "body":
+                head = next((i for i, (t, _, _) in enumerate(stack) if t in ("head", "template")), None)
+                if head is not None and stack[head][0] == "head" and not any(t == "template" for t, _, _ in stack[head:]):
+                    pop(head)
+            elif stack[-1][0] == "head" and tag not in IN_HEAD:
+                pop(len(stack) - 1)
+        if foreign and tag in LEAVES:
+            outer = next(i for i, (t, _, _) in enumerate(stack) if t in FOREIGN)
+            if not any(t in HOLDS_HTML for t, _, _ in stack[outer:]):
+                pop(outer)
         if tag in BLOCK:
             flush()
             ends = CLOSES.get(tag)
@@ -136,7 +176,7 @@ def blocks(html: str | None) -> list[Block]:
                         break
         elif tag in ("br", "wbr") and not silent:
             pieces.append(" " if tag == "br" else "")
-        if tag in VOID:
+        if tag in VOID or (foreign or tag in FOREIGN) and closed(m[3]):
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -146,6 +186,7 @@ def blocks(html: str | None) -> list[Block]:
         stack.append((tag, named(m[3]), quiet))
         links += tag == "a"
         silent += quiet
+        foreign += tag in FOREIGN
     flush()
     return out
 
