@@ -153,3 +153,22 @@ def test_simhash_edge_cases(spark):
     assert len(got) == 5 and {(r.fingerprint, r.component_id) for r in got} == {("0" * 16, 2)}
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rnd = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, c), (5, d), (3, e), (5, e), (None, e), (8, d), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (5, d), (3, e)], key=str)
+
+
+def test_chains_run_through_null_ids(spark, monkeypatch):
+    fps = {"one": 0b1, "two": 0b111, "three": 0b11111, "four": 0b1111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words=3: docs.sparkSession.createDataFrame([(r.doc_id, fps[r.text]) for r in docs.collect()], "doc_id long, fp long"))
+    docs = spark.createDataFrame([(1, "one"), (None, "two"), (3, "three"), (3, "four")], "doc_id long, text string")
+    got = sorted((r.fingerprint, r.component_id, r.n_links) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(f"{f:016x}", 1, n) for f, n in ((0b1, 1), (0b111, 2), (0b11111, 2), (0b1111111, 1))]

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vellum.llm.common import hot_join, written
 
@@ -152,27 +153,61 @@ def components(edges: DataFrame) -> DataFrame:
                 return edges
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """(fp, top, component_id, n_links, copies) of each fingerprint of fps (doc_id, fp); top: its component's smallest fingerprint."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    pairs = written(links(nodes.select("fp", F.col("fp").alias("node"))), "links")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    top = components(pairs).withColumnRenamed("b", "top")
+    named = nodes.join(top, nodes["fp"] == top["a"], "left").join(ends, nodes["fp"] == ends["c"], "left")
+    named = written(named.select("fp", F.coalesce("top", "fp").alias("top"), "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies"), "tops")
+    heads = written(named.groupBy("top").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "heads")
+    return written(hot_join(named.drop("least"), heads, "top", "n").select("fp", "top", "component_id", "n_links", "copies"), "named")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) of every document.
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most two bits;
     n_links counts the other fingerprints linked to the document's own. A text without words has
     fingerprint zero, a text with fewer words than a shingle is hashed whole. Repeated rows give repeated
-    rows. A null doc_id takes its component from the others.
+    rows. A null doc_id takes its component from the others, and is null where all are.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    pairs = written(links(nodes.filter("node is not null")), "links")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    top = components(pairs).withColumnRenamed("b", "top")
-    named = nodes.join(top, nodes["node"] == top["a"], "left").join(ends, nodes["node"] == ends["c"], "left")
-    named = named.select("fp", F.coalesce("top", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
-    out = hot_join(fps, written(named, "named"), "fp", "copies")
+    out = hot_join(fps, grouped(fps), "fp", "copies")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs with the column _fp."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(t or "", words) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of each component, one row each, all columns kept."""
-    keep = near_duplicates(docs, words).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of each component, all columns kept: the one with the smallest doc_id, nulls last, then the smallest text.
+
+    A doc_id that occurs once names its row. Rows whose doc_id is null or repeated are few as a rule: their
+    fingerprints are taken again, so that a row is judged by its own component.
+    """
+    fps = written(fingerprints(docs, words), "fingerprints")
+    named = grouped(fps)
+    repeated = written(fps.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    keep = hot_join(fps, named, "fp", "copies").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep"))
+    keep = keep.join(repeated, keep["_keep"] == repeated["doc_id"], "left_anti")
     kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rest = [docs.filter("doc_id is null")] if named.filter("component_id is null").limit(1).count() else []
+    if repeated.limit(1).count():
+        rest.append(hot_join(docs, repeated, "doc_id", "n", "left_semi").select(docs.columns))
+    heads = named.select(F.col("fp").alias("_fp"), F.col("top").alias("_top"), F.col("component_id").alias("_least"), F.col("copies").alias("_copies"))
+    for rows in rest:
+        own = hot_join(with_fingerprint(rows, words), heads, "_fp", "_copies").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
+        row = F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row")
+        kept = kept.unionByName(own.select("_top", row).groupBy("_top").agg(F.min("row").alias("row")).select("row.*").select(docs.columns))
+    return kept
