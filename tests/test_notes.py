@@ -38,6 +38,14 @@ def test_cleaning(spark):
     assert one(spark, text.clean(F.lit(None).cast("string"))) == ""
 
 
+def test_a_long_text_is_cleaned_whole(spark):
+    long = "word " * 60_000 + "`code` $x$ " * 1000 + "\n```\n" + "fenced\n" * 1000 + "```\nlast"
+    assert len(long) > 300_000
+    got = one(spark, text.clean(F.lit(long)))
+    assert got.split() == ["word"] * 60_000 + ["last"]
+    assert one(spark, text.clean(F.lit(long), 4)) == "word"
+
+
 def test_folders():
     assert text.prefixes([" /Journal/ ", "", "/", "A/b"]) == ["journal/", "a/b/"]
 

@@ -24,7 +24,6 @@ class Bars:
     rrf: int = 60
     k1: float = 1.5
     b: float = 0.75
-    max_chars: int = 200_000
     min_token: int = 3
 
 

@@ -42,9 +42,11 @@ NOT_PROSE = (
 )
 
 
-def clean(body: Column) -> Column:
-    """The prose of a note; null counts as empty."""
-    text = F.substring(F.coalesce(body, F.lit("")), 1, BARS.max_chars)
+def clean(body: Column, max_chars: int | None = None) -> Column:
+    """The prose of a note, whole unless a bound is given; null counts as empty."""
+    text = F.coalesce(body, F.lit(""))
+    if max_chars is not None:
+        text = F.substring(text, 1, max_chars)
     return reduce(lambda c, rule: F.regexp_replace(c, *rule), NOT_PROSE, text)
 
 
