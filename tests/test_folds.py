@@ -6,6 +6,7 @@ import random
 import pytest
 
 from vellum.operators import diffs
+from vellum.plans import catalogue
 from vellum.streaming import folds
 
 PAIRS = [("", ""), ("", "a\nb"), ("a\nb", ""), ("a\nb\nc", "a\nx\nc"), ("a\nb\nc", "a\nc"), ("a\nc", "a\nb\nc"), ("a", "a\n"), ("a\n", "a"), ("x\na\nb", "a\nb\ny"), ("a\nb\nc\nd\ne", "a\nB\nc\nD\ne"), ("same\n\n", "same\n\n"), ("\n", "\n\n")]
@@ -64,6 +65,14 @@ def write(path, before, after, kind="modify", old=None):
     return {"path": path, "kind": kind, "before": before, "after": after, "from": old}
 
 
+def test_pairs_of_texts_keep_every_line(spark, tmp_path):
+    texts = {1: "one", 2: "\n".join(f"line {i}" for i in range(2500)), 3: "", 4: None}
+    spark.createDataFrame([(i, "s", t) for i, t in texts.items()], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.after for r in catalogue.pairs_of_texts(spark, str(tmp_path)).collect()}
+    assert got[2].split("\n") == ["one"] + [f"line {i}" for i in range(1, 2500)]
+    assert {i: got[i] for i in (1, 3, 4)} == {1: "\n", 3: "line 0\n", 4: "\n"}
+
+
 def test_change_fold(spark):
     held = {}
     for c in (write("a", "one\ntwo\nx", "one\nTWO\nx"), write("a", "one\nTWO\nx\nmine", "ONE\nTWO\nx\nmine"), write("b", "", "x"), write("b", "x", ""), write("c", "", "new"), write("d", "new", "new", "rename", "c")):

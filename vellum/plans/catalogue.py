@@ -41,7 +41,8 @@ def pairs_of_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("before"))
     after = F.coalesce(F.lag("before").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(""))
     rows = docs.withColumn("other", after)
-    edited = F.concat_ws("\n", F.element_at(F.split("other", "\n"), 1), F.array_join(F.slice(F.split("before", "\n"), 2, 1000), "\n"))
+    lines = F.split("before", "\n")
+    edited = F.concat_ws("\n", F.element_at(F.split("other", "\n"), 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 1), "\n"))
     return rows.select("doc_id", "before", edited.alias("after"), edited.alias("doc"), F.lit("modify").alias("kind"))
 
 
