@@ -79,3 +79,28 @@ def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, None, "")], SCHEMA)).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)]
+
+
+def test_large_documents_leave_a_small_residual(spark):
+    rnd = random.Random(9)
+    rows = [(i, "w " * (20_000 if i == 7 else rnd.choice([900, 900, 300, 40, 40, 7, 7, 2])), f"s{i % 5}", "") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target, s
+
+
+def test_versions_of_one_length_are_taken_each(spark):
+    kind = "doc_id long, text string, source string, h1 string, _size int"
+    rows = [(1, "a b c", "s", "", 0), (1, "x y z", "s", "", 0), (1, "x y z", "s", "", 1), (None, "k l m", "s", "", 0), (None, "k l m", "s", "", 0), (2, None, "s", "", 0), (2, None, "s", "", 0)]
+    df = spark.createDataFrame(rows, kind)
+    assert sorted(map(str, mixing.mixed(df).collect())) == sorted(map(str, df.collect()))  # one source takes all its words once
+
+
+def test_a_row_that_repeats_very_often(spark):
+    rows = [(5, "w w", "a", "")] * 3000 + [(None, None, None, "")] * 3000 + [(i, "w", "b", "") for i in range(10, 90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) <= 6080
+    assert {r.copies for r in got if r.doc_id == 5} == {0, 1} or {r.copies for r in got if r.doc_id == 5} == {1}
+    assert sum(r.source is None and r.text is None for r in mixing.mixed(df).collect()) == 3000
