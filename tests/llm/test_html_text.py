@@ -72,3 +72,32 @@ def test_extract(spark):
 def test_deep_and_broken_markup_ends(spark):
     for html in ("<div>" * 5000 + "x" + "</div>" * 100, "<" * 5000, "<p a='" * 2000, "</p>" * 5000, "&#x110000; &bogus; &lt;"):
         html_text.main_text(html, html_text.trained())
+
+
+def test_names_of_attributes_count_only_whole():
+    body = "<h1>Title of it</h1>" + "".join(f"<p>Sentence number {i}, with a comma and an end.</p>" for i in range(9))
+    for tag in ('style="overflow:hidden"', 'class="hidden-print"', 'data-state="not hidden"', "title='display:none'"):
+        got = html_text.main_text(f"<html><body><nav><a href=x>Home</a></nav><article {tag}>{body}</article></body></html>", html_text.trained())
+        assert got == "Title of it\n" + "\n".join(f"Sentence number {i}, with a comma and an end." for i in range(9)), tag
+
+
+def test_time_and_memory_grow_with_the_page():
+    import time
+    import tracemalloc
+
+    field, size = html_text.trained(), 1_000_000
+    hard = ["<div>", "<b>", "<div><b>x", "<p a='", '<p a="', "</p>", "<a></b>", "<li><i>", "<!-", "<!", "<", "<x", "<p>a", "<svg><g>", "<table><tr><td>", "<template><body>", "</a", "<a b=c ='/>", "=", "<script>", "<div hidden><p>", "&amp", "<svg ====/>"]
+    for piece in hard:
+        began = time.time()
+        html_text.main_text(piece * (size // len(piece)), field)
+        assert time.time() - began < 20, piece
+    tracemalloc.start()
+    html_text.blocks("<div>" * (size // 5) + "x")
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_unclosed_quotes_lose_no_text():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    assert texts('<p>one</p><p class="x>two</p><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p title='a>b'>one</p>") == ["one"] and texts("a <b") == ["a <b"]

@@ -37,6 +37,9 @@ LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h
 FOREIGN = frozenset(("svg", "math"))
 HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that tell what the blocks inside them are.
+TELLING = frozenset("article main section nav header footer aside form ul ol table blockquote pre figure a button label h1 h2 h3 h4 details dialog fieldset menu p li td dl".split())
+NO_DIGITS = str.maketrans("", "", "0123456789")
 #: Words of class, id and role names, by what they point to.
 HINTS = {
     "menu": "nav menu breadcrumb breadcrumbs tabs pagination pager toc skip navbar navigation sitemap links",
@@ -53,10 +56,11 @@ for _kind, _words in HINTS.items():
     for _word in _words.split():
         HINT_OF.setdefault(_word, []).append(_kind)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^<]++|<)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-BARE = re.compile(r"=\s*[^\s\"'>]+\Z")
 PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -86,22 +90,89 @@ def hidden(attributes: str) -> bool:
 
 def closed(attributes: str) -> bool:
     """Whether the tag closes itself; a slash at the end of a bare value is part of the value."""
-    return attributes.endswith("/") and not BARE.search(attributes)
+    if not attributes.endswith("/"):
+        return False
+    cut = max(attributes.rfind(c) for c in " \t\n\r\f\"'>") + 1
+    return not ("=" in attributes[cut:-1] or attributes[:cut].rstrip().endswith("=") and attributes[cut - 1 : cut].isspace())
+
+
+class Node:
+    """An open element, with what its blocks need to know of all elements around it, so that a block keeps one link."""
+
+    __slots__ = ("block", "hints", "inside", "own", "pair", "quiet", "tag")
+
+    def __init__(self, tag: str, own: tuple[str, ...], quiet: bool, outer: Node | None):
+        self.tag, self.own, self.quiet = tag, own, quiet
+        self.block = tag if tag in BLOCK else outer.block if outer else "none"
+        inside, hints = (outer.inside, outer.hints) if outer else (frozenset(), frozenset())
+        self.inside = inside | {tag} if tag in TELLING and tag not in inside else inside
+        self.hints = hints | set(own) if not hints.issuperset(own) else hints
+        self.pair = (outer.own if outer else ()) + own  # of the innermost two elements
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, node: Node | None, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+
+class Open:
+    """The stack of open elements, and where on it the elements of each name and of some groups are."""
+
+    def __init__(self) -> None:
+        self.stack: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.walls: list[int] = []  # blocks but p
+        self.foreign: list[int] = []
+        self.holders: list[int] = []
+        self.links = self.silent = 0
+
+    def places(self, tag: str) -> list[list[int]]:
+        groups = [self.at.setdefault(tag, [])]
+        if tag in BLOCK:
+            groups.append(self.blocks)
+            if tag != "p":
+                groups.append(self.walls)
+        if tag in FOREIGN:
+            groups.append(self.foreign)
+        if tag in HOLDS_HTML:
+            groups.append(self.holders)
+        return groups
+
+    def push(self, tag: str, names: tuple[str, ...], quiet: bool) -> None:
+        for group in self.places(tag):
+            group.append(len(self.stack))
+        self.stack.append(Node(tag, names, quiet, self.stack[-1] if self.stack else None))
+        self.links += tag == "a"
+        self.silent += quiet
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            for group in self.places(node.tag):
+                group.pop()
+            self.links -= node.tag == "a"
+            self.silent -= node.quiet
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a name, -1 if none is open."""
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def top(self) -> str:
+        return self.stack[-1].tag if self.stack else ""
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The page's leaf blocks with readable text, in page order; path: (tag, hints) of the open elements."""
+    """The page's leaf blocks with readable text, in page order; each step takes constant time but for the characters it reads.
+
+    A tag whose quotes do not end before the page does ends at its first ">", and from there on quotes no
+    longer hide a ">"; a "<" after the last ">" is text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    pieces: list[str] = []
-    links = silent = linked = foreign = 0
+    now, pieces, linked = Open(), [], 0
     html = html or ""
 
     def flush() -> None:
@@ -109,97 +180,87 @@ def blocks(html: str | None) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(tuple((t, h) for t, h, _ in stack), text, linked))
+                out.append(Block(now.stack[-1] if now.stack else None, text, linked))
             pieces.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal links, silent, foreign
-        while len(stack) > to:
-            tag, _, quiet = stack.pop()
-            links -= tag == "a"
-            silent -= quiet
-            foreign -= tag in FOREIGN
-
-    at, end = 0, len(html)
+    def say(text: str) -> None:
+        nonlocal linked
+        if now.silent and now.top() == "head" and not text.isspace():
+            now.pop(len(now.stack) - 1)
+        if not now.silent:
+            pieces.append(text)
+            if now.links:
+                linked += len(text)
+
+    at, end, close, rule = 0, len(html), html.rfind(">"), TAG
     while at < end:
-        m = TOKEN.match(html, at)
-        if m is None:  # a "<" without its ">"
-            if not silent:
-                pieces.append(html[at])
-            at += 1
+        if html.startswith("<!--", at):
+            done = html.find("-->", at + 2)
+            at = end if done < 0 else done + 3
             continue
-        at = m.end()
-        text = m[4]
-        if text is not None:
-            if silent and stack[-1][0] == "head" and not text.isspace():
-                pop(len(stack) - 1)
-            if not silent:
-                pieces.append(text)
-                if links:
-                    linked += len(text)
+        if html[at] != "<" or at > close:
+            start, at = at, html.find("<", at + 1)
+            at = end if at < 0 else at
+            say(html[start:at])
             continue
-        if m[2] is None:
+        if html[at + 1 : at + 2] in ("!", "?"):
+            at = html.index(">", at) + 1
             continue
+        m = rule.match(html, at)
+        if m is None and rule is TAG and html[at + 1 : at + 3].strip("/")[:1].isalpha():
+            m = PLAIN.match(html, at)
+            rule = PLAIN if m else rule
+        if m is None:
+            say("<")
+            at += 1
+            continue
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            place = now.last(tag)
             if tag in BLOCK:
                 flush()
-            if place is not None:
-                if tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[place + 1 :]):
-                    continue  # an inline end tag does not close blocks
-                pop(place)
+            if place >= 0 and (tag in BLOCK or not now.blocks or now.blocks[-1] <= place):
+                now.pop(place)  # an inline end tag does not close blocks
             continue
-        if silent:
+        if now.silent:
+            heads = now.at.get("head")
             if tag == "body":
-                head = next((i for i, (t, _, _) in enumerate(stack) if t in ("head", "template")), None)
-                if head is not None and stack[head][0] == "head" and not any(t == "template" for t, _, _ in stack[head:]):
-                    pop(head)
-            elif stack[-1][0] == "head" and tag not in IN_HEAD:
-                pop(len(stack) - 1)
-        if foreign and tag in LEAVES:
-            outer = next(i for i, (t, _, _) in enumerate(stack) if t in FOREIGN)
-            if not any(t in HOLDS_HTML for t, _, _ in stack[outer:]):
-                pop(outer)
+                if heads and not now.at.get("template"):
+                    now.pop(heads[0])
+            elif now.top() == "head" and tag not in IN_HEAD:
+                now.pop(len(now.stack) - 1)
+        if now.foreign and tag in LEAVES and (not now.holders or now.holders[-1] < now.foreign[0]):
+            now.pop(now.foreign[0])
         if tag in BLOCK:
             flush()
-            ends = CLOSES.get(tag)
-            if ends is None and tag != "body":
-                ends = {"p"} if tag not in ("tr", "td", "th", "li", "dt", "dd") else None
-            if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCK and stack[i][0] not in ("p",):
-                        break
-        elif tag in ("br", "wbr") and not silent:
-            pieces.append(" " if tag == "br" else "")
-        if tag in VOID or (foreign or tag in FOREIGN) and closed(m[3]):
+            ends = CLOSES.get(tag, () if tag == "body" else ("p",))
+            near = max(map(now.last, ends), default=-1)
+            if near >= 0 and (not now.walls or now.walls[-1] <= near):
+                now.pop(near)
+        elif tag == "br" and not now.silent:
+            pieces.append(" ")
+        if tag in VOID or (now.foreign or tag in FOREIGN) and closed(m[3]):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            found = RAW_END[tag].search(html, at)
+            at = found.end() if found else end
             continue
-        quiet = tag in SILENT or hidden(m[3])
-        stack.append((tag, named(m[3]), quiet))
-        links += tag == "a"
-        silent += quiet
-        foreign += tag in FOREIGN
+        now.push(tag, named(m[3]), tag in SILENT or hidden(m[3]))
     flush()
     return out
 
 
 def block_features(b: Block) -> list[str]:
-    tags = [t for t, _ in b.path]
-    text, n = b.text, len(b.text)
+    text, n, node = b.text, len(b.text), b.node
     words = text.count(" ") + 1
     dense = b.linked / max(1, n)
-    out = ["bias", f"tag={next((t for t in reversed(tags) if t in BLOCK), 'none')}", f"size={min(words.bit_length(), 8)}", f"links={'none' if dense == 0 else 'some' if dense < 0.5 else 'most'}"]
-    out += [f"in={t}" for t in set(tags) & _TELLING]
-    out += [f"hint={h}" for h in {h for _, hs in b.path for h in hs}]
-    out += [f"near={h}" for _, hs in b.path[-2:] for h in hs]
+    out = ["bias", f"tag={node.block if node else 'none'}", f"size={min(words.bit_length(), 8)}", f"links={'none' if dense == 0 else 'some' if dense < 0.5 else 'most'}"]
+    if node:
+        out += [f"in={t}" for t in node.inside]
+        out += [f"hint={h}" for h in node.hints]
+        out += [f"near={h}" for h in node.pair]
     if text[-1] in ".!?…:;\"”»。":
         out.append("ends")
     commas = text.count(",") + text.count(". ")
@@ -208,15 +269,11 @@ def block_features(b: Block) -> list[str]:
         out.append("copyright")
     if re.search(r"(?i)\b(cookie|cookies|subscribe|sign up|log in|newsletter|advertis|sponsored|share this|read more|related|comments?|reply|posted by|privacy policy|terms of)", text):
         out.append("stock")
-    digits = sum(c.isdigit() for c in text[:200])
-    if digits * 3 > min(n, 200):
+    if 3 * (n - len(text.translate(NO_DIGITS))) > n:
         out.append("digits")
     return out
 
 
-_TELLING = frozenset("article main section nav header footer aside form ul ol table blockquote pre figure a button label h1 h2 h3 h4 details dialog fieldset menu p li td dl".split())
-
-
 class Field:
     """The chain: unary weights by feature and label, pair weights, start weights."""
 
