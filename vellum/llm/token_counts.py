@@ -1,9 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
 A text's tokens are the sum of its pre-tokens' tokens. Tier one is a compact table, pre-token to number
-of tokens, of the most frequent pre-tokens of a bounded sample of documents; it is broadcast. Tier two
-is each worker's own table: a pre-token that neither holds is encoded by the tokenizer library and kept,
-and the worker's table is emptied when full. No pre-token is ever shuffled. The sample decides what is
+of tokens, of the most frequent pre-tokens of a bounded sample of documents; it is broadcast and looked
+up first, and is never emptied. Tier two is each worker's own cache: a pre-token that tier one misses is
+looked up there, else encoded by the tokenizer library and kept, and the cache is emptied when full. No pre-token is ever shuffled. The sample decides what is
 looked up quickly, never a result.
 
 A text that the pattern might split otherwise than the library goes to the library whole: one with an
@@ -29,7 +29,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Counts(dict):
-    """Pre-token to number of tokens; what is missing is encoded and kept."""
+    """A worker's cache, pre-token to number of tokens; what is missing is encoded and kept."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -58,9 +58,19 @@ class Counts(dict):
     def count(self, text: str, frequent: dict[str, int]) -> int:
         if self.added(text) or self.ranges(text) and unassigned().search(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        if not self:
-            self.update(frequent)
-        return sum(map(self.__getitem__, self.split(text)))
+        table = frequent if isinstance(frequent, Frequent) else Frequent(frequent, self)
+        return sum(map(table.__getitem__, self.split(text)))
+
+
+class Frequent(dict):
+    """The broadcast table; what it misses is asked of the worker's cache and not kept here."""
+
+    def __init__(self, table: dict[str, int], rest: Counts):
+        super().__init__(table)
+        self.rest = rest
+
+    def __missing__(self, pre_token: str) -> int:
+        return self.rest[pre_token]
 
 
 @lru_cache(maxsize=1)
@@ -102,7 +112,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     frequent = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = load(tokenizer), frequent.value
+        known = load(tokenizer)
+        table = Frequent(frequent.value, known)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([known.count(t, table) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
