@@ -54,13 +54,40 @@ def test_held_out_candidates(spark):
 
     trees, weights, limits = pii.trained(spark)
     held = pii.made_candidates(spark, pii.TRAINING).filter("held")
-    p = pii.probability(pii.features(F.col("kind"), F.col("hit"), F.col("before"), F.col("after")), trees, weights)
-    rows = held.select("kind", "label", p.alias("p")).collect()
+    rows = held.select("kind", "label", pii.probability(F.col("x"), trees, weights).alias("p")).collect()
     right = [(r.p >= limits[r.kind]) == bool(r.label) for r in rows]
     assert len(rows) > 1000 and sum(right) / len(right) > 0.9
     assert sum(r.p >= limits[r.kind] for r in rows if not r.label) < 0.02 * len(rows)
 
 
+def test_adjacent_and_listed_forms_are_all_found(spark):
+    rnd = random.Random(12)
+    digits = lambda shape: "".join(str(rnd.randint(2, 9)) if c == "#" else c for c in shape)
+    rows, want = [], {}
+    for shape, kind in (("(###) ###-####", "phone"), ("###-###-####", "phone"), ("+## ### ### ####", "phone"), ("################", "card"), ("####-####-####-####", "card"), ("joe (at) mail## (dot) org", "email")):
+        for gap in (" ", ", ", "\n"):
+            for n in (1, 2, 7, 200):
+                text, spans = "ask ", []
+                for _ in range(n):
+                    spans.append(f"{kind}:{len(text)}:{len(text) + len(shape)}")
+                    text += digits(shape) + gap
+                want[len(rows)] = spans
+                rows.append((len(rows), text, "", ""))
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {i: sum(s in got[i] for s in spans) / len(spans) for i, spans in want.items()}
+    assert sum(found.values()) / len(found) >= 0.9, {rows[i][1][:60]: f for i, f in found.items() if f < 0.9}
+
+
+def test_long_dense_texts_end(spark):
+    import time
+
+    for piece in ("(212) 555-0147 ", "1 2 3 ", "a.b@c.de "):
+        text = piece * (60_000 // len(piece))
+        began = time.time()
+        assert pii.redacted(spark.createDataFrame([(1, text, "", "")], SCHEMA)).collect()[0].text
+        assert time.time() - began < 60, piece
+
+
 def test_redaction(spark):
     rows = [(1, "write a.b@c.de or +1 (017) 555-7713!", "x", "y"), (2, None, "", ""), (3, "clean", "", ""), (3, "clean", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
