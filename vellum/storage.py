@@ -7,23 +7,44 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes up to which a scan is dealt to all cores.
+SMALL = 4 << 30
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local folder, made once per application and removed at its end; only a local
+    master may use one, as the executors of a cluster would each write to their own disk.
+    """
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, _local[sc.applicationId], True)
+    return _local[sc.applicationId]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read again; a local folder where that is unset (tests)."""
+    """df written as Parquet in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="vellum-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table's scan, dealt to all cores where its files give fewer tasks than that; large tables are left as they are."""
+    """A table's scan, dealt to all cores where its files give fewer tasks than that and hold at most SMALL bytes.
+
+    A larger table is left as it is, however many cores there are: shuffling it whole would cost more.
+    """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    small = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL
+    return scan.repartition(cores) if small and scan.rdd.getNumPartitions() < cores else scan
