@@ -46,5 +46,5 @@ def spread(scan: DataFrame) -> DataFrame:
     A larger table is left as it is, however many cores there are: shuffling it whole would cost more.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    small = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL
+    small = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
     return scan.repartition(cores) if small and scan.rdd.getNumPartitions() < cores else scan
