@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,61 +54,61 @@ def diff(before: str, after: str) -> list[tuple[str, str]]:
 
 
 def hunks(before: str, after: str) -> list[dict]:
-    """Runs of change with their line ranges on both sides, end exclusive."""
-    out, a, b, open_ = [], 0, 0, False
-    for op, text in diff(before, after):
-        if op != " " and not open_:
-            out.append({"before_start": a, "before_end": a, "after_start": b, "after_end": b, "removed": [], "added": []})
-        open_ = op != " "
-        a, b = a + (op != "+"), b + (op != "-")
-        if op == "-":
-            out[-1]["removed"].append(text)
-            out[-1]["before_end"] = a
-        elif op == "+":
-            out[-1]["added"].append(text)
-            out[-1]["after_end"] = b
-    return out
+    """Runs of change with their line ranges on both sides, end exclusive: the islands of changed rows in the line column."""
+    rows = diff(before, after)
+    op = np.array([o for o, _ in rows], dtype=object)
+    # how many lines of each side stand before a row
+    a, b = (np.concatenate([[0], np.cumsum(op != other, dtype=np.int64)]) for other in ("+", "-"))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (op != " ").astype(int), [0]])))
+    side = lambda lo, hi, which: [t for o, t in rows[lo:hi] if o == which]
+    return [
+        {"before_start": int(a[lo]), "before_end": int(a[hi]), "after_start": int(b[lo]), "after_end": int(b[hi]), "removed": side(lo, hi, "-"), "added": side(lo, hi, "+")}
+        for lo, hi in edges.reshape(-1, 2).tolist()
+    ]
+
+
+def spliced(text: str, swaps: list[tuple[int, int, list[str]]]) -> str:
+    """The text with line ranges [lo, hi) replaced; the ranges are in order and apart."""
+    rows, out, at = lines_of(text), [], 0
+    for lo, hi, new in swaps:
+        out += [*rows[at:lo], *new]
+        at = hi
+    return "\n".join(out + rows[at:])
 
 
 def accepted(before: str, h: dict) -> str:
     """The baseline with one hunk taken into it."""
-    rows = lines_of(before)
-    return "\n".join(rows[: h["before_start"]] + list(h["added"]) + rows[h["before_end"] :])
+    return spliced(before, [(h["before_start"], h["before_end"], list(h["added"]))])
 
 
-def rejection(after: str, h: dict) -> tuple[int, int, str]:
-    """(from, to, insert): the edit of the text that puts a hunk's removed lines back."""
-    rows = lines_of(after)
-    begin = lambda i: sum(len(r) + 1 for r in rows[:i])
-    if h["after_end"] < len(rows):
-        return begin(h["after_start"]), begin(h["after_end"]), "".join(f"{t}\n" for t in h["removed"])
-    text = "\n".join(h["removed"])
-    if h["after_start"] == 0:
-        return 0, len(after), text
-    return begin(h["after_start"]) - 1, len(after), f"\n{text}" if h["removed"] else ""
+def reverted(doc: str, found: list[dict]) -> str:
+    """The text with the hunks put back."""
+    return spliced(doc, [(h["after_start"], h["after_end"], list(h["removed"])) for h in found])
 
 
-def reverted(doc: str, found: list[dict]) -> str:
-    """The text with the hunks put back, from the last to the first."""
-    for h in reversed(found):
-        lo, hi, text = rejection(doc, h)
-        doc = doc[:lo] + text + doc[hi:]
-    return doc
+def rejection(after: str, h: dict) -> tuple[int, int, str]:
+    """(from, to, insert): the edit of the text that puts a hunk's removed lines back, between what both texts share at their ends."""
+    back = reverted(after, [h])
+    head = len(os.path.commonprefix([after, back]))
+    tail = len(os.path.commonprefix([after[head:][::-1], back[head:][::-1]]))
+    return head, len(after) - tail, back[head : len(back) - tail]
 
 
-def same_as(h: dict) -> tuple:
-    return tuple(h["removed"]), tuple(h["added"])
+def content(h: dict) -> str:
+    """What a hunk takes and gives, as one value."""
+    return json.dumps([list(h["removed"]), list(h["added"])])
 
 
 def pending(before: str, after: str, doc: str) -> list[dict]:
     """The hunks of the document that are, line for line, hunks of the change from before to after."""
-    mine = {same_as(h) for h in hunks(before, after)}
-    return [h for h in hunks(before, doc) if same_as(h) in mine]
+    made = set(map(content, hunks(before, after)))
+    return list(filter(lambda h: content(h) in made, hunks(before, doc)))
 
 
 def without(before: str, after: str, h: dict) -> str:
     """after with the first hunk of equal content taken back."""
-    return next((reverted(after, [m]) for m in hunks(before, after) if same_as(m) == same_as(h)), after)
+    alike = [m for m in hunks(before, after) if content(m) == content(h)]
+    return reverted(after, alike[:1])
 
 
 def over(rows: DataFrame, function, kind: str, name: str, *columns: str) -> DataFrame:
@@ -164,3 +166,102 @@ def added_lines(hunked: DataFrame, key: str) -> DataFrame:
 
 def hunk_key(path: Column, h: Column) -> Column:
     return F.concat_ws("|", path, h["before_start"], h["before_end"], h["after_start"], h["after_end"])
+
+
+def accept_hunk(rows: DataFrame) -> DataFrame:
+    """rows of (before, hunk) with text: the baseline with the hunk taken into it."""
+    return over_hunk(rows, accepted, "string", "text", "before")
+
+
+def reject_edit(rows: DataFrame) -> DataFrame:
+    """rows of (after, hunk) with edit: the edit of the text that puts the hunk back."""
+    edit = lambda a, h: dict(zip(("lo", "hi", "insert"), rejection(a, h), strict=True))
+    return over_hunk(rows, edit, "struct<lo:int,hi:int,insert:string>", "edit", "after")
+
+
+def drop_hunk(rows: DataFrame) -> DataFrame:
+    """rows of (before, after, hunk) with text: after without the hunk."""
+    return over_hunk(rows, without, "string", "text", "before", "after")
+
+
+def over_hunk(rows: DataFrame, function, kind: str, name: str, *columns: str) -> DataFrame:
+    """rows with `name`: the function of the text columns and of the struct column hunk; null texts as empty."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{name: [function(*(t if t is not None else "" for t in r[:-1]), r[-1]) for r in zip(*(b[c] for c in columns), b["hunk"], strict=True)]})
+
+    return rows.mapInPandas(run, ", ".join([*fields, f"{name} {kind}"]))
+
+
+def hunk_lines(hunks: Column) -> Column:
+    """How many lines the hunks of a column remove and add together."""
+    return F.aggregate(hunks, F.lit(0), lambda n, h: n + F.size(h["removed"]) + F.size(h["added"]))
+
+
+def changes_panel(diffed: DataFrame, key: str, most: int = 400) -> DataFrame:
+    """(key, letter, added, removed, total, shown) of rows with kind and lines: a kind's letter, the tally and the first `most` lines."""
+    t = tally(F.col("lines"))
+    letter = F.when(F.col("kind").isin("create", "modify", "delete", "rename"), F.upper(F.substring("kind", 1, 1))).otherwise("?")
+    return diffed.select(key, letter.alias("letter"), t["added"].alias("added"), t["removed"].alias("removed"), F.size("lines").alias("total"), F.slice("lines", 1, most).alias("shown"))
+
+
+def review(rows: DataFrame) -> DataFrame:
+    """(path, action, before, after, doc) after the action of each row: accept, reject or settle of all that is pending.
+
+    accept takes doc as the new baseline; reject puts all pending hunks back into doc; settle takes a
+    hunk of `hunk` content only, given as JSON of [removed, added], or all where it is null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.fillna("").to_dict("records"):
+                before, doc = r["before"], r["doc"]
+                chosen = [h for h in pending(before, r["after"], doc) if not r["hunk"] or content(h) == r["hunk"]]
+                if r["action"] == "accept":
+                    before = spliced(before, [(h["before_start"], h["before_end"], list(h["added"])) for h in chosen])
+                elif r["action"] == "reject":
+                    doc = reverted(doc, chosen)
+                out.append({"path": r["path"], "action": r["action"], "before": before, "after": doc, "open": before != doc})
+            yield pd.DataFrame(out, columns=["path", "action", "before", "after", "open"])
+
+    return rows.select("path", "action", "before", "after", "doc", "hunk").mapInPandas(run, "path string, action string, before string, after string, open boolean")
+
+
+def undo(changes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, failed paths) after changes (path, kind, before, after, from) are undone, each by its kind.
+
+    A created note goes, a deleted one comes back with its text, a renamed one gets its old path, a modified
+    one loses what is still pending. A note that is missing though it should be there is reported.
+    """
+    joined = changes.join(notes.select(F.col("path").alias("_p"), F.col("content").alias("doc")), F.col("path") == F.col("_p"), "left").drop("_p")
+    failed = joined.filter((F.col("kind") != "delete") & F.col("doc").isNull()).select("path")
+    texts = revert_pending(joined.filter((F.col("kind") == "modify") & F.col("doc").isNotNull()).select("path", "before", "after", "doc"))
+    back = texts.select("path", F.col("path").alias("to"), F.col("text").alias("content"))
+    back = back.unionByName(joined.filter(F.col("kind") == "delete").select("path", F.col("path").alias("to"), F.col("before").alias("content")))
+    back = back.unionByName(joined.filter((F.col("kind") == "rename") & F.col("doc").isNotNull()).select("path", F.col("from").alias("to"), F.col("doc").alias("content")))
+    rest = notes.select("path", "content").join(changes.select("path"), "path", "left_anti")
+    return rest.unionByName(back.select(F.col("to").alias("path"), "content")), failed
+
+
+def restored(changes: DataFrame, disk: DataFrame, editor: DataFrame) -> DataFrame:
+    """(path, text): the present text of each changed path, what an open editor holds before what is on disk."""
+    e, d = (t.select(F.col("path").alias("_p"), F.col("content").alias(c)) for t, c in ((editor, "_e"), (disk, "_d")))
+    met = changes.select("path").join(e, F.col("path") == F.col("_p"), "left").drop("_p").join(d, F.col("path") == F.col("_p"), "left")
+    return met.select("path", F.coalesce("_e", "_d").alias("text"))
+
+
+#: Fixed value: what starts a quote or a table row, which a widget must not part.
+RUN = r"^\s*(?:>|\|)"
+
+
+def widget_line(text: Column, line: Column) -> Column:
+    """The line before which a widget for a hunk at `line` stands: the start of the quote or table run around it, at most the end."""
+    rows = F.split(text, "\n")
+    at = F.least(line, F.size(rows))
+    before = F.reverse(F.slice(rows, F.lit(1), at))
+    gap = F.array_position(F.transform(before, lambda r: r.rlike(RUN).cast("string")), F.lit("false"))
+    inside = F.get(rows, at).rlike(RUN)
+    return F.when(F.coalesce(inside, F.lit(False)), at - F.when(gap > 0, gap - 1).otherwise(F.size(before))).otherwise(at).cast("int")

@@ -15,6 +15,9 @@ from vellum.operators.index import stem_counts
 
 #: Fixed value: changed files that are kept, the oldest going first.
 MAX_CHANGED = 200
+#: What ends a turn, with the field it fills and what stands for a missing value; statuses by event.
+ENDS = {"chat_done": ("answer", ""), "chat_error": ("error", "unknown error")}
+STATUS = {"tool_done": "done", "tool_error": "error"}
 TURN = "turn string, text string, tools array<struct<id:string,label:string,status:string,error:string>>, answer string, error string, done boolean"
 
 
@@ -29,28 +32,42 @@ def as_text(value) -> str:
     return json.dumps(value) if isinstance(value, bool | int | float) else ""
 
 
-def apply_frame(turn: dict, frame: dict) -> dict:
-    """The turn after one frame."""
-    kind, event = frame.get("type"), frame.get("event") or {}
-    if kind == "chat_done":
-        return turn | {"answer": frame["answer"] if isinstance(frame.get("answer"), str) else "", "done": True}
-    if kind == "chat_error":
-        return turn | {"error": frame["error"] if isinstance(frame.get("error"), str) else "unknown error", "done": True}
-    if kind != "chat_event":
-        return turn
-    what, tools = str(event.get("type")), turn["tools"]
-    if what == "delta" and event.get("kind") == "text":
-        return turn | {"text": turn["text"] + as_text(event.get("text"))}
-    if what == "tool_start":
-        return turn | {"tools": [*tools, {"id": str(event.get("id")), "label": str(event.get("name")), "status": "run", "error": None}]}
-    if what in ("tool_done", "tool_error"):
-        at = next((i for i, t in enumerate(tools) if t["id"] == str(event.get("id"))), None)
-        if at is not None:
-            end = {"status": "done"} if what == "tool_done" else {"status": "error", "error": as_text(event.get("error"))}
-            return turn | {"tools": [*tools[:at], tools[at] | end, *tools[at + 1 :]]}
-    if what == "batch":
-        return turn | {"tools": [*tools, {"id": f"batch:{len(tools)}", "label": f"{event.get('kind')} · {event.get('label')}", "status": "run", "error": None}]}
-    return turn
+def facts(frame: dict) -> Iterator[tuple]:
+    """What a frame tells of its turn: ("text", words), ("tool", id, label), ("status", id, end, error) or ("last", field, value)."""
+    event = frame.get("event") or {}
+    name = (str(frame.get("type")), str(event.get("type")))
+    if name[0] in ENDS:
+        field, other = ENDS[name[0]]
+        value = frame.get(field)
+        yield "last", field, value if isinstance(value, str) else other
+    elif name == ("chat_event", "delta") and event.get("kind") == "text":
+        yield "text", as_text(event.get("text"))
+    elif name == ("chat_event", "tool_start"):
+        yield "tool", str(event.get("id")), str(event.get("name"))
+    elif name == ("chat_event", "batch"):
+        yield "tool", None, f"{event.get('kind')} · {event.get('label')}"
+    elif name[0] == "chat_event" and name[1] in STATUS:
+        yield "status", str(event.get("id")), STATUS[name[1]], as_text(event.get("error")) if name[1] == "tool_error" else None
+
+
+def told(turn: dict, frames: list[dict]) -> dict:
+    """The turn after the frames: texts joined, tools in the order they began, each with its last status, the last end."""
+    known = [f for frame in frames for f in facts(frame)]
+    of = lambda kind: [f[1:] for f in known if f[0] == kind]
+    tools = list(turn["tools"])
+    place: dict[str, int] = {}
+    for k, t in enumerate(tools):
+        place.setdefault(t["id"], k)
+    for kind, key, *rest in (f for f in known if f[0] in ("tool", "status")):
+        if kind == "tool":
+            key = f"batch:{len(tools)}" if key is None else key
+            place.setdefault(key, len(tools))
+            tools.append({"id": key, "label": rest[0], "status": "run", "error": None})
+        elif key in place:  # a status before its tool tells nothing
+            status, error = rest
+            tools[place[key]] = tools[place[key]] | {"status": status} | ({} if error is None else {"error": error})
+    ends = of("last")
+    return turn | {"text": turn["text"] + "".join(t for (t,) in of("text")), "tools": tools, "done": turn["done"] or bool(ends)} | dict(ends)
 
 
 def parsed(frame: str | None) -> dict:
@@ -65,9 +82,7 @@ def chat_turns(frames: DataFrame) -> DataFrame:
     """One row per turn of frames (turn string, seq long, frame string), folded in order; a turn is one group."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        turn = new_turn()
-        for frame in rows.sort_values("seq", kind="stable")["frame"]:
-            turn = apply_frame(turn, parsed(frame))
+        turn = told(new_turn(), rows.sort_values("seq", kind="stable")["frame"].map(parsed).tolist())
         return pd.DataFrame([{"turn": rows["turn"].iloc[0], **turn}])
 
     return frames.groupBy("turn").applyInPandas(fold, TURN)
@@ -87,8 +102,7 @@ def chat_turns_stream(frames: DataFrame, expire_ms: int | None = None) -> DataFr
             return
         turn = json.loads(state.get[0]) if state.exists else new_turn()
         rows = pd.concat(list(batches))
-        for frame in rows.sort_values("seq", kind="stable")["frame"]:
-            turn = apply_frame(turn, parsed(frame))
+        turn = told(turn, rows.sort_values("seq", kind="stable")["frame"].map(parsed).tolist())
         if turn["done"]:
             if state.exists:
                 state.remove()
@@ -108,22 +122,31 @@ def conversation_texts(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turns", F.array_join(F.transform("p", lambda s: s["text"]), "").alias("text"))
 
 
+#: The kind of a change by whether there is a baseline and whether there is a text; neither: no change.
+KINDS = {(False, True): "create", (True, True): "modify", (True, False): "delete"}
+
+
+def baseline(known: dict | None, now: str) -> str:
+    """The text that a path's change starts from: `now` with what an earlier change left pending put back."""
+    return now if known is None else reverted(now, pending(known["before"], known["after"], now))
+
+
 def fold_change(held: dict[str, dict], change: dict) -> None:
-    """One write into the changes by path: a rename carries its row, the reader's own edits join the baseline."""
-    path, old = change["path"], change.get("from")
-    if change["kind"] == "rename":
-        before = held.pop(old, None) if old else None
-        held[path] = {**before, "path": path, "from": old} if before else dict(change)
+    """One write into the state by path: {path: row}, in the order the rows came in, at most MAX_CHANGED of them."""
+    came, path = change.get("from"), change["path"]
+    if change["kind"] == "rename":  # the row moves with its file
+        row = {**held.pop(came), "path": path, "from": came} if came in held else dict(change)
     else:
         known = held.get(path)
-        base = reverted(change["before"], pending(known["before"], known["after"], change["before"])) if known else change["before"]
-        if not base and not change["after"]:
-            held.pop(path, None)
-        else:
-            kind = "create" if not base else "delete" if not change["after"] else "modify"
-            held[path] = {"path": path, "kind": kind, "before": base, "after": change["after"], "from": known.get("from") if known else None}
-    while len(held) > MAX_CHANGED:
-        held.pop(next(iter(held)))
+        start = baseline(known, change["before"])
+        kind = KINDS.get((bool(start), bool(change["after"])))
+        row = kind and {"path": path, "kind": kind, "before": start, "after": change["after"], "from": (known or {}).get("from")}
+    if row:
+        held[path] = row
+    else:
+        held.pop(path, None)
+    for oldest in list(held)[: max(0, len(held) - MAX_CHANGED)]:
+        del held[oldest]
 
 
 def change_fold(changes: DataFrame) -> DataFrame:
@@ -144,6 +167,23 @@ def change_fold(changes: DataFrame) -> DataFrame:
     return changes.groupBy("session").applyInPandas(fold, "session string, position long, path string, kind string, before string, after string, `from` string")
 
 
+def change_fold_stream(changes: DataFrame) -> DataFrame:
+    """change_fold() over a stream: the rows of each session after each batch; the state is the session's rows, at most MAX_CHANGED."""
+    kind = "session string, position long, path string, kind string, before string, after string, `from` string"
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
+        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records"):
+            fold_change(held, {k: (r[k] if isinstance(r[k], str) else None if k == "from" else "") for k in ("path", "kind", "before", "after", "from")})
+        state.update((json.dumps(held),))
+        out = pd.DataFrame(list(held.values()), columns=["path", "kind", "before", "after", "from"])
+        out.insert(0, "position", range(len(out)))
+        out.insert(0, "session", key[0])
+        yield out
+
+    return changes.groupBy("session").applyInPandasWithState(fold, kind, "state string", "update", GroupStateTimeout.NoTimeout)
+
+
 def debounced(events: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
     """(user_id, start, n, last_event): bursts of events closer than the gap, with the last of each. Works on streams with a watermark."""
     burst = events.groupBy("user_id", F.session_window("ts", gap).alias("w"))
