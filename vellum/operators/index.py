@@ -77,8 +77,29 @@ def build(notes: DataFrame, exclude: list[str] = (), lang: str | None = None) ->
     notes = notes.withColumn("excluded", in_folders(F.col("path"), list(exclude)))
     lang = lang or detect_language(notes).first()["lang"]
     counts = kept(stem_counts(notes, lang), "counts")  # every other table starts from it
-    top = top_stems(counts).withColumn("excluded", in_folders(F.col("path"), list(exclude)))
-    return NoteIndex(notes, counts, top, discriminating(notes, counts), lang)
+    top = kept(top_stems(counts).withColumn("excluded", in_folders(F.col("path"), list(exclude))), "top")
+    return NoteIndex(notes, counts, top, kept(discriminating(notes, counts), "disc"), lang)
+
+
+_shared: dict[tuple, NoteIndex] = {}
+
+
+def shared(key: str, notes: DataFrame, exclude: list[str] = (), lang: str | None = None) -> NoteIndex:
+    """The index of the notes that `key` names, one for an application, a version of the notes and the settings.
+
+    The first caller builds its tables, later ones read them; the version is the notes' number and newest
+    mtimes, so changed notes give a new one.
+    """
+    state = notes.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "mtime").cast("decimal(38,0)")).alias("h")).first()
+    name = (notes.sparkSession.sparkContext.applicationId, key, state["n"], state["h"], tuple(exclude), lang)
+    if name not in _shared:
+        _shared[name] = build(notes, exclude, lang)
+    return _shared[name]
+
+
+def top_set(index: NoteIndex, path: str) -> DataFrame:
+    """(stem): the top stems of one note, no row for an unknown one."""
+    return index.top.filter(F.col("path") == path).select("stem")
 
 
 def refresh(old_notes: DataFrame, old_counts: DataFrame, notes: DataFrame, lang: str = "en") -> DataFrame:

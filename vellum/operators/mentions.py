@@ -108,6 +108,11 @@ def autolink(notes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return joined.mapInPandas(run, "path string, content string, added array<string>")
 
 
+def autolink_note(notes: DataFrame, path: str, titles: DataFrame) -> DataFrame:
+    """autolink() of one note with the titles given; no row where there is no such note."""
+    return autolink(notes.filter(F.col("path") == path), titles)
+
+
 def autolink_totals(linked: DataFrame) -> DataFrame:
     """(notes, links): notes that autolink changed and links it added."""
     return linked.agg(F.count_if(F.size("added") > 0).alias("notes"), F.coalesce(F.sum(F.size("added")), F.lit(0)).alias("links"))

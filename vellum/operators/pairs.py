@@ -21,27 +21,48 @@ def candidates(index: NoteIndex) -> DataFrame:
     return left.join(right, "stem").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+#: Notes of a stem that meet in one task at most; a commoner stem is cut into blocks of so many.
+BLOCK = 2000
+
+
+def met_pairs(top: DataFrame) -> DataFrame:
+    """(a, b, n, m) for each stem that two notes of top (id, stem, size) share, a < b.
+
+    A stem with more than BLOCK notes is cut into blocks by a hash of the note, and each pair of blocks
+    is a key of its own, so no task joins all notes of a common stem.
+    """
+    often = top.groupBy("stem").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).filter("k > 1")
+    cut = top.join(often, "stem", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "k").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    a = cut.select("stem", F.col("id").alias("a"), F.col("size").alias("n"), F.col("own").alias("r"), every).withColumnRenamed("other", "c")
+    b = cut.select("stem", F.col("id").alias("b"), F.col("size").alias("m"), F.col("own").alias("c"), every).withColumnRenamed("other", "r")
+    return a.join(b, ["stem", "r", "c"]).filter("a < b").select("a", "b", "n", "m")
+
+
 def scored_pairs(index: NoteIndex, tau: float = BARS.orphan) -> DataFrame:
     """(a, b, score), a < b: pairs of notes, excluded ones apart, whose top stems overlap by tau at least.
 
-    The stems of a note are put in order of rising frequency. Two sets with Jaccard tau share one of their
-    first |x| - ceil(tau |x|) + 1, so only these are joined; the commonest stems never meet. A pair is kept
-    where the stem they met on is the first they share, so it comes once without being made distinct.
+    Only numbers are joined and counted: a note is its place in a numbered table, a stem a 64-bit hash. Two
+    sets can only have Jaccard tau if the smaller has tau times the stems of the larger, so other pairs
+    are not counted. Paths come back for the pairs that stay.
     """
-    # stems as 64-bit hashes: the sets stay small, and their intersection is compiled code over longs
-    top = index.top.filter("not excluded").select("path", F.xxhash64("stem").alias("stem"))
-    often = top.groupBy("stem").agg(F.count("*").alias("f"))
-    sets = top.join(often, "stem").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("f", "stem"))).alias("s"))
-    sets = kept(sets.select("path", F.col("s.stem").alias("stems")), "sets")  # both sides of the join read it
-    size = F.size("stems")
-    need = F.ceil(size * F.lit(round(tau * 10**6)).cast("long") / F.lit(10**6) - 1e-9)
-    prefix = F.explode(F.slice("stems", F.lit(1), (size - need + 1).cast("int"))).alias("stem")
-    rows = sets.select("path", "stems", prefix)
-    a = rows.select("stem", F.col("path").alias("a"), F.col("stems").alias("x"))
-    b = rows.select("stem", F.col("path").alias("b"), F.col("stems").alias("y"))
-    met = a.join(b, "stem").filter("a < b").select("a", "b", "stem", F.array_intersect("x", "y").alias("both"), F.size("x").alias("n"), F.size("y").alias("m"))
-    once = met.filter(F.element_at("both", 1) == F.col("stem"))
-    return once.select("a", "b", jaccard(F.size("both"), F.col("n"), F.col("m")).alias("score")).filter(F.col("score") >= tau)
+    ids = kept(index.notes.filter("not excluded").select("path").distinct().sort("path").withColumn("id", F.monotonically_increasing_id()), "ids")
+    top = index.top.filter("not excluded").select("path", F.xxhash64("stem").alias("stem"), "size").join(ids, "path").select("id", "stem", "size")
+    met = met_pairs(kept(top, "top-numbers"))
+    bar = F.lit(tau) - 1e-12
+    near = met.filter(F.least("n", "m") >= bar * F.greatest("n", "m")).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    scored = near.select("a", "b", jaccard(F.col("shared"), F.col("n"), F.col("m")).alias("score")).filter(F.col("score") >= tau)
+    named = scored.join(sized(ids.select(F.col("id").alias("a"), F.col("path").alias("pa"))), "a").join(sized(ids.select(F.col("id").alias("b"), F.col("path").alias("pb"))), "b")
+    return named.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "score")
+
+
+#: Bytes of a written table up to which it is broadcast.
+SMALL = 64 << 20
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if the planner's estimate of it is small; else the join shuffles."""
+    return F.broadcast(table) if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL else table
 
 
 def stem_sets(index: NoteIndex) -> DataFrame:
@@ -51,8 +72,8 @@ def stem_sets(index: NoteIndex) -> DataFrame:
 
 def with_overlap(pairs: DataFrame, index: NoteIndex) -> DataFrame:
     """pairs with overlap: the Jaccard similarity of the two notes' telling stems, 0 where one has none."""
-    sets = stem_sets(index)
-    x, y = sets.select(F.col("path").alias("a"), F.col("stems").alias("x")), sets.select(F.col("path").alias("b"), F.col("stems").alias("y"))
+    sets = kept(stem_sets(index), "stem-sets")
+    x, y = sized(sets.select(F.col("path").alias("a"), F.col("stems").alias("x"))), sized(sets.select(F.col("path").alias("b"), F.col("stems").alias("y")))
     none = F.array().cast("array<bigint>")
     joined = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
     shared = F.size(F.array_intersect("x", "y"))

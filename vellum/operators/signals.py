@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import BARS
+from vellum.functions.text import parent
 from vellum.operators.index import NoteIndex
 from vellum.operators.pairs import jaccard, ranked, related, related_all, scored_pairs, stem_sets, with_overlap
 
@@ -84,6 +85,33 @@ def panel(index: NoteIndex, links: DataFrame, dangling: DataFrame, path: str, li
     return listed.unionByName(thin).unionByName(broken)
 
 
+def presented(panel_rows: DataFrame, notes: DataFrame, path: str, same_folder: bool = False) -> DataFrame:
+    """panel() rows as a list shows them: title, whether another note has it, percent of the section's strongest, two decimals.
+
+    With same_folder only notes in the folder of `path` stay; targets of broken links always do.
+    """
+    here = notes.select(F.col("path").alias("other"), F.col("basename").alias("name"), parent(F.col("path")).alias("folder"))
+    twice = here.groupBy("name").agg(F.count("*").alias("same")).filter("same > 1")
+    rows = panel_rows.join(here, "other", "left").join(twice, "name", "left")
+    if same_folder:
+        rows = rows.filter((F.col("kind") == "dangling") | (F.col("folder") == parent(F.lit(path))))
+    most = F.max("score").over(Window.partitionBy("kind"))  # the rows of one note
+    percent = F.round(100 * F.col("score") / F.when(most > 0, most).otherwise(1.0)).cast("int")
+    return rows.select("kind", "other", F.coalesce("name", "other").alias("title"), F.coalesce(F.col("same") > 1, F.lit(False)).alias("ambiguous"), percent.alias("percent"), F.format_string("%.2f", "score").alias("shown"), "unlinked")
+
+
+def stale_order(stale: DataFrame, path: str) -> DataFrame:
+    """The thin links of one note, the thinnest first."""
+    return stale.filter(F.col("src") == path).orderBy("score", "dst")
+
+
+def next_row(queue: DataFrame, cursor: int, current: str | None) -> DataFrame:
+    """The queue's row at the cursor, the open note skipped; no row once the queue is exhausted. The queue is limited."""
+    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "path"))
+    left = queue if current is None else queue.filter(F.col("path") != current)
+    return left.withColumn("at", place - 1).filter(F.col("at") == cursor).drop("at")
+
+
 def queue_signals(index: NoteIndex, links: DataFrame, dangling: DataFrame) -> DataFrame:
     """(path, kind, n, score): how often each note has each signal, and its strongest."""
     pairs = with_overlap(scored_pairs(index, BARS.orphan), index)

@@ -23,7 +23,7 @@ def notes_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str) -> index.NoteIndex:
-    return index.build(notes_of(spark, d), [EXCLUDED], "en")
+    return index.shared(d, notes_of(spark, d), [EXCLUDED], "en")
 
 
 def linked(spark: SparkSession, d: str) -> tuple[index.NoteIndex, DataFrame, DataFrame]:
@@ -106,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["title_search"] = lambda s, d: rounded(search.title_hits(notes_of(s, d), TITLE_QUERY), "score")
     q["fused_search"] = lambda s, d: rounded(search.search(built(s, d), TITLE_QUERY + " " + QUERY), "score")
     q["scoped_search"] = lambda s, d: rounded(search.search(built(s, d), "ontion thing", 20, SCOPE), "score")
-    q["split_scope"] = lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", search.split_scope(F.concat(F.lit("Path:/A "), F.substring("text", 1, 40), F.lit("  path:Src1/"))).alias("p")).select("item_id", "p.query", "p.scope")
+    q["split_scope"] = lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", search.split_scope(F.concat(F.lit("Path:/A "), F.coalesce("text", F.lit("")), F.lit("  path:Src1/"))).alias("p")).select("item_id", "p.query", "p.scope")
     q["snippet_window"] = lambda s, d: notes_of(s, d).select("path", search.snippet_window(F.col("content"), "ontion thing").alias("snippet"))
     q["snippet_pieces"] = lambda s, d: search.snippets(search.bm25(built(s, d), QUERY, 20), notes_of(s, d), QUERY)
     # signals
@@ -118,6 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["dangling_links"] = lambda s, d: vault.page_dangling(s, d)
     q["attention_queue"] = lambda s, d: rounded(signals.attention_queue(*linked(s, d)), "score")
     q["note_panel"] = lambda s, d: rounded(signals.panel(*linked(s, d), NOTE), "score")
+    q["panel_rows"] = lambda s, d: signals.presented(signals.panel(*linked(s, d), NOTE), notes_of(s, d), NOTE)
+    q["panel_same_folder"] = lambda s, d: signals.presented(signals.panel(*linked(s, d), NOTE), notes_of(s, d), NOTE, True)
+    q["stale_of_note"] = lambda s, d: rounded(signals.stale_order(signals.stale_links(*linked(s, d)[:2]), NOTE), "score")
+    q["queue_next"] = lambda s, d: rounded(signals.next_row(signals.attention_queue(*linked(s, d)), 3, NOTE), "score")
+    q["top_set"] = lambda s, d: index.top_set(built(s, d), NOTE)
     # vault
     q["list_files"] = lambda s, d: vault.request(notes_of(s, d), "list_files", folder="src1")
     q["read_note"] = lambda s, d: vault.request(notes_of(s, d), "read", path="/" + NOTE)
@@ -138,6 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["grouped_hunks"] = lambda s, d: diffs.grouped_hunks(diffs.diff_lines(pairs_of_texts(s, d)), "doc_id")
     q["revert_hunks"] = lambda s, d: diffs.revert_pending(pairs_of_texts(s, d)).select("doc_id", F.md5("text").alias("digest"))
     q["change_fold"] = lambda s, d: folds.change_fold(writes_of(s, d)).select("session", "position", "path", "kind", F.md5("before").alias("before"), F.md5("after").alias("after"))
+    q["changes_panel"] = lambda s, d: diffs.changes_panel(diffs.diff_lines(pairs_of_texts(s, d)), "doc_id").select("doc_id", "letter", "added", "removed", "total", F.size("shown").alias("shown"))
+    q["review_accept"] = lambda s, d: diffs.review(pairs_of_texts(s, d).select(F.col("doc_id").cast("string").alias("path"), F.lit("accept").alias("action"), "before", "after", "doc", F.lit(None).cast("string").alias("hunk"))).select("path", F.md5("before").alias("digest"), "open")
+    q["review_reject"] = lambda s, d: diffs.review(pairs_of_texts(s, d).select(F.col("doc_id").cast("string").alias("path"), F.lit("reject").alias("action"), "before", "after", "doc", F.lit(None).cast("string").alias("hunk"))).select("path", F.md5("after").alias("digest"), "open")
     # graph
     q["graph_edges"] = lambda s, d: rounded(graph.graph_edges(*linked(s, d)[:2]), "w")
     q["graph_nodes"] = lambda s, d: graph.graph_nodes(graph.graph_edges(*linked(s, d)[:2]), 200)
@@ -165,7 +173,7 @@ with notes as (
   from documents
 ), cleaned as (
   select path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    substr(content, 1, 200000),
+    content,
     '\\A---\\r?\\n[\\s\\S]*?\\r?\\n---[ \\t]*\\r?\\n?', ' ', 'g'),
     '(?m)^```[^\\n]*\\n[\\s\\S]*?^```[ \\t]*$|^~~~[^\\n]*\\n[\\s\\S]*?^~~~[ \\t]*$', ' ', 'g'),
     '(?m)^(?:```|~~~)[\\s\\S]*', ' ', 'g'),
@@ -211,8 +219,8 @@ with notes as (
   select path, count(*) as k from disc group by path
 ), links as (
   select a.path as src, b.path as dst, count(*) as n
-  from (select l_orderkey % k as s, l_partkey % k as d, l_linenumber, l_quantity from lineitem, (select count(*) as k from documents)) l
-  join notes a on a.mtime = l.s join notes b on b.mtime = l.d where (l_linenumber = 1 and l_quantity >= 46) or l.s % 50 = 0 group by all
+  from (select s, (2 * case when s % 10 = 0 then l_partkey else 7 * s + l_partkey % 3 end) % k as d from (select l_orderkey % k as s, l_partkey, k from lineitem, (select count(*) as k from documents))) l
+  join notes a on a.mtime = l.s join notes b on b.mtime = l.d group by all
 ), dangling as (
   select x.path as src, p.target, count(*) as n
   from (select page_id % k as s, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages, (select count(*) as k from documents)) p
@@ -317,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
     both = TITLE_QUERY + " " + QUERY
     o["fused_search"] = BASE + bm25_sql(both, 100) + title_sql(both, 100) + FUSED + " order by fused.score desc, path limit 50"
     o["scoped_search"] = BASE + bm25_sql("ontion thing", 40, SCOPE) + title_sql("ontion thing", 40, SCOPE) + FUSED + " order by fused.score desc, path limit 20"
-    o["split_scope"] = "select item_id, trim(regexp_replace(concat(' ', substr(text, 1, 40), ' '), '\\s+', ' ', 'g')) as query, 'src1/' as scope from benchmark"
+    o["split_scope"] = "select item_id, trim(regexp_replace(concat(' ', coalesce(text, ''), ' '), '\\s+', ' ', 'g')) as query, 'src1/' as scope from benchmark"
     o["snippet_window"] = BASE + f""", f as (select path, {_FLAT} as text from notes), g as (select path, text, strpos(lower(text), 'ontion') as p, strpos(lower(text), 'thing') as q from f)
       select path, substr(text, cast(greatest(coalesce(least(nullif(p, 0), nullif(q, 0)) - 1, 0) - 50, 0) as bigint) + 1, 170) as snippet from g"""
     o["in_degree"] = BASE + " select dst as path, cast(sum(n) as bigint) as deg from links group by dst"
@@ -339,6 +347,22 @@ def oracle_sql() -> dict[str, str]:
     select kind, o.path as other, round(o.score, 6) as score, kind = 'related' and n.score >= 0.25 and n.overlap >= 0.08 and o.{unlinked} as unlinked from once o join near n on n.path = o.path where c = 1
     union all select 'stale', dst, round(score, 6), false from thin where src = '{NOTE}'
     union all select distinct 'dangling', target, 0.0, false from dangling where src = '{NOTE}'"""
+    panel = o["note_panel"]
+    shown = """select kind, other, coalesce(n.basename, other) as title, coalesce(t.same > 1, false) as ambiguous,
+      cast(round(100 * score / case when max(score) over (partition by kind) > 0 then max(score) over (partition by kind) else 1 end) as integer) as percent, printf('%.2f', score) as shown, unlinked
+      from p left join notes n on n.path = other left join (select basename, count(*) as same from notes group by basename) t using (basename)"""
+    head, tail = panel.split("once as (select *, row_number()", 1)
+    whole, rest = tail.split("select kind, o.path as other", 1)
+    p_rows = head + "once as (select *, row_number()" + whole + ", p as (select kind, o.path as other" + rest.replace("round(o.score, 6)", "o.score").replace("round(score, 6)", "score") + ") "
+    o["panel_rows"] = p_rows + shown
+    o["panel_same_folder"] = p_rows + shown + f" where kind = 'dangling' or starts_with(other, '{NOTE.split('/')[0]}/')"
+    o["stale_of_note"] = BASE + stale + f" select src, dst, round(score, 6) as score from thin where src = '{NOTE}'"
+    o["queue_next"] = "select path, score, reason from (" + o["attention_queue"] + f") where path <> '{NOTE}' order by score desc, path limit 1 offset 3"
+    o["top_set"] = BASE + f" select stem from top where path = '{NOTE}'"
+    before = ", pr as (select doc_id, coalesce(text, '') as before, coalesce(lag(coalesce(text, '')) over (partition by source order by doc_id), '') as other from documents), ed as (select doc_id, before, concat(string_split(other, chr(10))[1], chr(10), array_to_string(list_slice(string_split(before, chr(10)), 2, len(string_split(before, chr(10)))), chr(10))) as after from pr)"
+    o["review_accept"] = BASE + before + " select cast(doc_id as varchar) as path, md5(after) as digest, false as open from ed"
+    o["review_reject"] = BASE + before + " select cast(doc_id as varchar) as path, md5(before) as digest, false as open from ed"
+    o["revert_hunks"] = BASE + before + " select doc_id, md5(before) as digest from ed"
     o["list_files"] = BASE + " select basename as name, path from notes where starts_with(path, 'src1/')"
     o["read_note"] = BASE + f" select path, content, length(content) as size from notes where path = '{NOTE}'"
     lines = ", l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from notes)"

@@ -39,14 +39,18 @@ def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, n): written links between documents, derived from order lines."""
+    """(src, dst, n): written links between documents, one for each order line.
+
+    The order's number gives the source. Targets have even numbers, so odd ones are orphans: of every tenth
+    source they follow the part's number, which makes an index note; of the others there are three.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", path_of(F.col("doc_id"), F.col("source")).alias("path"))
     n = docs.count()
-    ends = lines.select((F.col("l_orderkey") % n).alias("s"), (F.col("l_partkey") % n).alias("d"), "l_linenumber", "l_quantity")
-    kept = ends.filter(((F.col("l_linenumber") == 1) & (F.col("l_quantity") >= 46)) | (F.col("s") % 50 == 0)).groupBy("s", "d").agg(F.count("*").alias("n"))
+    source, part = F.col("l_orderkey") % n, F.col("l_partkey")
+    ends = lines.select(source.alias("s"), (2 * F.when(source % 10 == 0, part).otherwise(7 * source + part % 3) % n).alias("d")).groupBy("s", "d").agg(F.count("*").alias("n"))
     src, dst = docs.select(F.col("doc_id").alias("s"), F.col("path").alias("src")), docs.select(F.col("doc_id").alias("d"), F.col("path").alias("dst"))
-    return kept.join(src, "s").join(dst, "d").select("src", "dst", "n")
+    return ends.join(src, "s").join(dst, "d").select("src", "dst", "n")
 
 
 def page_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,17 +139,42 @@ def delete(notes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return notes.join(g, "path", "left_anti"), notes.join(g, "path", "left_semi")
 
 
+def listed_strings(value: Column) -> Column:
+    """A variant as an array of strings: the strings of an array, none for anything else."""
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(F.filter(F.transform(parts, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))), lambda t: t.isNotNull()), F.array().cast("array<string>"))
+
+
+def folders_of(setting: str) -> list[str]:
+    """The folders of a comma-separated setting, trimmed, empty ones left out."""
+    return [part.strip() for part in setting.split(",") if part.strip()]
+
+
 #: Read requests by name: a function of the notes and the request's parameters.
 REQUESTS = {
     "read": lambda notes, path: read_note(notes, path),
     "list_files": lambda notes, folder="": list_files(notes, folder),
     "outline": lambda notes, path: outline(notes.filter(F.col("path") == path)),
     "props_of": lambda notes, path: properties(notes.filter(F.col("path") == path)),
+    "grep": lambda notes, queries: _mentions().grep(notes, queries),
+    "mentions": lambda notes, titles: _mentions().mentions(notes, titles),
+    "autolink": lambda notes, path, titles: _mentions().autolink_note(notes, path, titles),
+    "create": create,
+    "overwrite": overwrite,
+    "append": append,
+    "set_property": set_property,
+    "delete": delete,
 }
 
 
+def _mentions():
+    from vellum.operators import mentions
+
+    return mentions
+
+
 def request(notes: DataFrame, method: str, **parameters) -> DataFrame:
-    """The answer to a read request of the fixed list."""
+    """The answer to a request of the fixed list; writes give the notes after it."""
     if method not in REQUESTS:
         raise ValueError(f"unknown method: {method}")
     return REQUESTS[method](notes, **parameters)
