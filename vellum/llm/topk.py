@@ -1,15 +1,16 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors are packed into blocks of integer matrices, one row per dimension (vertical layout), with the
-norms of what remains after each group of dimensions. Each block of candidates meets each block of
-queries once: blocks are rows, and a candidate block is dealt to every query block by an equi-join on
-the query block's number. A stated query set against all rows, in blocks: what is moved grows with
-candidates times query blocks, not with pairs.
-
-Inside a pair of blocks scores are accumulated group of dimensions by group. After each, a candidate is
-compacted away if for none of the queries its score so far plus the product of the remaining norms can
-reach the query's k-th best score; a slice of candidates is done before the next, so that bound rises.
-The bounds are rounded up; scores are integers and exact.
+Vectors are packed into blocks of integer matrices, one row per dimension (vertical layout). Blocks of
+candidates are dealt to cells once and stay there; blocks of queries, far fewer, go to every cell and are
+joined by the cell's number. A stated query set against all rows, in blocks: what is moved grows with
+queries times cells, not with pairs, and candidates are moved once.
+
+A query block meets the blocks of a cell one after the other and keeps, for each query, the k-th best
+score so far, its floor. A candidate block goes whole if the product of norms cannot reach any floor.
+Else scores are accumulated group of dimensions by group; after each, a candidate is compacted away if for
+none of the queries its score so far plus the product of the remaining norms can reach the floor; a slice
+of candidates is done before the next, so that floors rise. The bounds are rounded up. Scores are exact:
+products that might pass 2^53 are summed as Python integers.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import parallelism, written
 
-#: Vectors of a block; queries and candidates that are scored together; dimensions of a group.
-BLOCK, QUERIES, SLICE, GROUP = 4096, 256, 1024, 16
+#: Vectors of a block; blocks of a cell; queries and candidates that are scored together; dimensions of a group.
+BLOCK, CELL, QUERIES, SLICE, GROUP = 4096, 64, 256, 1024, 16
+LONG = 2**63 - 1
 
 _BLOCKS = "block long, n long, dims long, ids binary, vectors binary"
 
@@ -70,47 +72,81 @@ def unpacked(raw: bytes, dims: int, n: int) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(dims, n).astype(np.float64)
 
 
+class Asked:
+    """A block of queries on its way through candidate blocks: each query's best so far and its floor."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, vectors, k
+        self.floor = np.full(len(ids), -np.inf)
+        self.got = [(np.zeros(0, np.int64),) * 3 for _ in range(0, len(ids), QUERIES)]  # (row, candidate, score)
+        self.norms = np.sqrt((vectors * vectors).sum(axis=0))
+
+    def keep(self, part: int, lo: int, n: int, r: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Takes new (row, candidate, score) of a slice of queries in and raises their floors."""
+        rows = tuple(np.concatenate(x) for x in zip(self.got[part], (r, ids, scores), strict=True))
+        order = np.lexsort((rows[1], -rows[2], rows[0]))
+        r, ids, scores = (x[order] for x in rows)
+        start = np.searchsorted(r, np.arange(n))
+        stay = np.arange(len(r)) - start[r] < self.k
+        r, ids, scores = self.got[part] = r[stay], ids[stay], scores[stay]
+        count = np.bincount(r, minlength=n)
+        full = count >= self.k
+        self.floor[lo : lo + n][full] = scores[(np.cumsum(count) - 1)[full]]
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """Scores a block of candidates, one row per dimension, where it can reach a floor."""
+        if not len(c_ids) or not len(self.ids):
+            return
+        dims = max(len(self.q), len(c))
+        q, c = (np.pad(m, ((0, dims - len(m)), (0, 0))) for m in (self.q, c))
+        if dims * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) >= 2.0**53:
+            return self.exactly(c_ids, q, c)
+        mass = np.sqrt((c * c).sum(axis=0))
+        if (self.norms * mass.max() * (1 + 1e-9) + 1e-6 < self.floor).all():
+            return None
+        heavy = np.argsort(-(c * c).sum(axis=1), kind="stable")  # dimensions with most mass first
+        by_norm = np.argsort(-mass, kind="stable")
+        q, c, c_ids = q[heavy], c[heavy][:, by_norm], c_ids[by_norm]
+        cuts = [*range(0, dims, GROUP), dims]
+        rest = lambda m: [np.sqrt((m[at:] ** 2).sum(axis=0)) for at in cuts[1:]]
+        c_rest = rest(c)
+        for part, lo in enumerate(range(0, q.shape[1], QUERIES)):
+            qs, ids, floor = q[:, lo : lo + QUERIES], self.ids[lo : lo + QUERIES], self.floor[lo : lo + QUERIES]
+            q_rest = rest(qs)
+            for at in range(0, c.shape[1], SLICE):
+                live = np.arange(at, min(at + SLICE, c.shape[1]))
+                score = np.zeros((len(ids), len(live)))
+                for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    score += qs[a:b].T @ c[a:b, live]
+                    if b < dims:
+                        reach = (score + np.outer(q_rest[g], c_rest[g][live]) * (1 + 1e-9) + 1e-6 >= floor[:, None]).any(axis=0)
+                        if not reach.all():
+                            live, score = live[reach], score[:, reach]
+                r, col = np.nonzero((score >= floor[:, None]) & (ids[:, None] != c_ids[live][None, :]))
+                self.keep(part, lo, len(ids), r, c_ids[live[col]], score[r, col].astype(np.int64))
+        return None
+
+    def exactly(self, c_ids: np.ndarray, q: np.ndarray, c: np.ndarray) -> None:
+        """meet() with Python integers; a score beyond a long counts as the greatest or least long."""
+        whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+        q, c = whole(q), whole(c)
+        for part, lo in enumerate(range(0, q.shape[1], QUERIES)):
+            ids = self.ids[lo : lo + QUERIES]
+            score = np.array([[max(-LONG - 1, min(LONG, int(x))) for x in row] for row in q[:, lo : lo + QUERIES].T @ c], np.int64).reshape(len(ids), len(c_ids))
+            r, col = np.nonzero(ids[:, None] != c_ids[None, :])
+            self.keep(part, lo, len(ids), r, c_ids[col], score[r, col])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, candidate id, score) of the best."""
+        found = [(self.ids[lo + r], i, s) for lo, (r, i, s) in zip(range(0, len(self.ids), QUERIES), self.got, strict=True)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best candidates; q and c have one row per dimension."""
-    dims = max(len(q), len(c))
-    q, c = (np.pad(m, ((0, dims - len(m)), (0, 0))) for m in (q, c))
-    heavy = np.argsort(-(c * c).sum(axis=1), kind="stable")  # dimensions with most mass first
-    q, c = q[heavy], c[heavy]
-    cuts = list(range(0, dims, GROUP)) + [dims]
-    rest = lambda m: [np.sqrt((m[at:] ** 2).sum(axis=0)) for at in cuts[1:]]
-    by_norm = np.argsort(-(c * c).sum(axis=0), kind="stable")
-    c, c_ids = c[:, by_norm], c_ids[by_norm]
-    c_rest = rest(c)
-    out = []
-    for lo in range(0, q.shape[1], QUERIES):
-        qs, ids = q[:, lo : lo + QUERIES], q_ids[lo : lo + QUERIES]
-        q_rest = rest(qs)
-        floor = np.full(len(ids), -np.inf)  # the k-th best score so far
-        got = [(np.zeros(0, np.int64),) * 3]
-        for at in range(0, c.shape[1], SLICE):
-            live = np.arange(at, min(at + SLICE, c.shape[1]))
-            score = np.zeros((len(ids), len(live)))
-            for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                score += qs[a:b].T @ c[a:b, live]
-                if b < dims:
-                    reach = (score + np.outer(q_rest[g], c_rest[g][live]) * (1 + 1e-9) + 1e-6 >= floor[:, None]).any(axis=0)
-                    if not reach.all():
-                        live, score = live[reach], score[:, reach]
-            hit = (score >= floor[:, None]) & (ids[:, None] != c_ids[live][None, :])
-            r, col = np.nonzero(hit)
-            rows = np.concatenate([got[0][0], r]), np.concatenate([got[0][1], c_ids[live[col]]]), np.concatenate([got[0][2], score[r, col].astype(np.int64)])
-            order = np.lexsort((rows[1], -rows[2], rows[0]))
-            r, i, s = (x[order] for x in rows)
-            start = np.searchsorted(r, np.arange(len(ids)))
-            keep = np.arange(len(r)) - start[r] < k
-            r, i, s = r[keep], i[keep], s[keep]
-            got = [(r, i, s)]
-            count = np.bincount(r, minlength=len(ids))
-            full = count >= k
-            floor[full] = s[(np.cumsum(count) - 1)[full]]
-        r, i, s = got[0]
-        out.append((ids[r], i, s))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    asked = Asked(q_ids, q, k)
+    asked.meet(c_ids, c)
+    return asked.result()
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = BLOCK) -> DataFrame:
@@ -120,27 +156,36 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     rows if there are fewer candidates. Vectors that are null or hold a null or non-finite component, and
     rows without id, take no part. Of vectors of different lengths the missing components count as zero.
     A row is its query's own if the ids are equal. A candidate id that repeats gives its rows one by one,
-    a query id that repeats asks once, with its greatest vector.
+    a query id that repeats asks once, with its greatest vector. A score beyond a long is cut to its range.
     """
     once = queries.groupBy(id_col).agg(F.max(vector_col).alias(vector_col))
     asked = written(packed(once, id_col, vector_col, scale, block), "queries")
-    numbers = [r["block"] for r in asked.select("block").collect()]  # one number per `block` queries
-    given = packed(rows, id_col, vector_col, scale, block)
-    given = given.withColumn("at", F.explode(F.lit(numbers).cast("array<bigint>") if numbers else F.expr("array(cast(null as bigint))")))
-    # candidates are salted, so that one query block is answered by many tasks; AQE must not put these small, slow parts together
-    salts = parallelism(rows.sparkSession)
-    given = given.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).repartition(salts, "at", "salt")
-    asked = asked.select(F.col("block").alias("at"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "at", "salt")
-    pairs = given.join(asked.hint("merge"), ["at", "salt"])
+    given = written(packed(rows, id_col, vector_col, scale, block), "candidates")
+    blocks = given.count()
+    cells = max(1, min(blocks, max(parallelism(rows.sparkSession), -(-blocks // CELL))))
+    # both sides are dealt by cell, and AQE must not put these small, slow parts together
+    given = given.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")).repartition(cells, "cell")
+    asked = asked.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"))
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).repartition(cells, "cell")
+    # a merge join streams its left side: a query block meets all blocks of its cell in a row
+    pairs = asked.hint("merge").join(given, "cell").select("cell", "asked", "q_ids", "q_vectors", "q_dims", "ids", "vectors", "dims")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
+        send = lambda a: pa.RecordBatch.from_arrays([pa.array(x) for x in a.result()], ["query_id", id_col, "score"])
         for b in batches:
-            for r in b.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = unpacked(r["q_vectors"], r["q_dims"], len(q_ids)), unpacked(r["vectors"], r["dims"], len(c_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(q_ids, q, c_ids, c, k)], ["query_id", id_col, "score"])
-
-    found = pairs.select("ids", "vectors", "dims", "q_ids", "q_vectors", "q_dims").mapInArrow(run, f"query_id long, {id_col} long, score long")
+            for i in range(b.num_rows):
+                r = {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names) if not name.startswith("q_")}
+                if (r["cell"], r["asked"]) != at:
+                    if now is not None:
+                        yield send(now)
+                    at, ids = (r["cell"], r["asked"]), np.frombuffer(b.column(2)[i].as_py(), np.int64)
+                    now = Asked(ids, unpacked(b.column(3)[i].as_py(), b.column(4)[i].as_py(), len(ids)), k)
+                c_ids = np.frombuffer(r["ids"], np.int64)
+                now.meet(c_ids, unpacked(r["vectors"], r["dims"], len(c_ids)))
+        if now is not None:
+            yield send(now)
+
+    found = pairs.mapInArrow(run, f"query_id long, {id_col} long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col)))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
