@@ -28,8 +28,9 @@ from vellum.llm.common import hot_join, written
 
 #: Words of a window, and of an anchor.
 WINDOW, GRAM = 50, 16
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two independent 64-bit hashes stand for equal words: at 10^13 windows one of them alone would meet by chance.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -52,19 +53,23 @@ class Hashes:
     """Hashes of any word range of a text in constant time."""
 
     def __init__(self, words: list[bytes]):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BASE, len(words)), dtype=np.uint64)])
-        self.back = powers(_INVERSE, len(words) + 1)
+        n = len(words)
+        self.sums, self.back = [], []
+        for seed, (base, inverse) in enumerate(zip(_BASES, _INVERSES, strict=True)):
+            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, n)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, n), dtype=np.uint64)]))
+            self.back.append(powers(inverse, n + 1))
 
-    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mixed((self.sums[start + size] - self.sums[start]) * self.back[start] + np.asarray(size).astype(np.uint64))
+    def of(self, start: np.ndarray, size: np.ndarray | int, which: int = 0) -> np.ndarray:
+        sums, back = self.sums[which], self.back[which]
+        return mixed((sums[start + size] - sums[start]) * back[start] + np.asarray(size).astype(np.uint64))
 
 
-def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, run hash, first window, number of windows) of each run of a text, in text order."""
+def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, two run hashes, first window, number of windows) of each run of a text, in text order."""
     n = len(words) - window + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (*(np.zeros(0, np.uint64),) * 3, *(np.zeros(0, np.int64),) * 2)
     hashes = Hashes(words)
     grams = hashes.of(np.arange(len(words) - gram + 1), gram)
     reach = window - gram + 1
@@ -75,12 +80,12 @@ def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.concatenate([first, [n]]))
     anchor = least[first]
-    whole = mixed(hashes.of(first, count + window - 1) + (anchor - first).astype(np.uint64))
-    return grams[anchor], whole, first, count
+    whole = [mixed(hashes.of(first, count + window - 1, k) + (anchor - first).astype(np.uint64)) for k in (0, 1)]
+    return grams[anchor], *whole, first, count
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, anchor, run, first, n) of every run of every text."""
+    """(doc_id, anchor, run, run2, first, n) of every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,31 +94,33 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []
             if sum(sizes):
                 ids = np.repeat(np.asarray(b.column(0)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc_id", "anchor", "run", "first", "n"])
+                values = [pa.array(c.view(np.int64)) for c in cols[:3]] + [pa.array(c.astype(np.int32)) for c in cols[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *values], ["doc_id", "anchor", "run", "run2", "first", "n"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, anchor long, run long, first int, n int")
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, anchor long, run long, run2 long, first int, n int")
 
 
 def window_hashes(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(window, doc_id, run, offset) for each window of the wanted runs; wanted: (doc, runs array<struct<run, first, n>>)."""
+    """(window, window2, doc_id, run, run2, offset) for each window of the wanted runs; wanted: (doc, runs array<struct<run, run2, first, n>>)."""
+    names = ["window", "window2", "doc_id", "run", "run2", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 hashes = Hashes((text or "").encode("utf-8", "surrogatepass").split())
                 first = np.array([r["first"] for r in found], np.int64)
                 n = np.array([r["n"] for r in found], np.int64)
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out[0].append(hashes.of(np.repeat(first, n) + offset, window).view(np.int64))
-                out[1].append(np.full(n.sum(), doc))
-                out[2].append(np.repeat(np.array([r["run"] for r in found], np.int64), n))
-                out[3].append(offset.astype(np.int32))
+                start = np.repeat(first, n) + offset
+                keys = [np.repeat(np.array([r[k] for r in found], np.int64), n) for k in ("run", "run2")]
+                for part, column in zip(out, [*(hashes.of(start, window, k).view(np.int64) for k in (0, 1)), np.full(n.sum(), doc), *keys, offset.astype(np.int32)], strict=True):
+                    part.append(column)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["window", "doc_id", "run", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, "window long, doc_id long, run long, offset int")
+    return joined.mapInArrow(run, "window long, window2 long, doc_id long, run long, run2 long, offset int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -124,14 +131,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = written(anchors(docs, window), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("anchor", "rows")
     found = written(hot_join(found, written(shared, "anchors-shared"), "anchor", "rows", "left_semi"), "shared")
-    kinds = written(found.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "first", "n")).alias("at"), F.count("*").alias("copies")), "runs")
+    kinds = written(found.groupBy("anchor", "run", "run2").agg(F.min(F.struct("doc_id", "first", "n")).alias("at"), F.count("*").alias("copies")), "runs")
     several = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "several")
-    wanted = hot_join(kinds, several, "anchor", "kinds", "left_semi").groupBy(F.col("at.doc_id").alias("doc")).agg(F.collect_list(F.struct("run", "at.first", "at.n")).alias("runs"))
+    wanted = hot_join(kinds, several, "anchor", "kinds", "left_semi").groupBy(F.col("at.doc_id").alias("doc")).agg(F.collect_list(F.struct("run", "run2", "at.first", "at.n")).alias("runs"))
     single = written(window_hashes(docs, wanted, window), "windows")
-    least = single.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("window", "lo", "rows")
-    masks = hot_join(single, written(least, "least"), "window", "rows").filter("doc_id > lo").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
-    settled = written(kinds.select("run", F.col("at.doc_id").alias("lo"), "copies").join(masks, "run", "left"), "settled")
-    spans = hot_join(found, settled, "run", "copies").filter("doc_id > lo or mask is not null")
+    least = single.groupBy("window", "window2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("window", "window2", "lo", "rows")
+    masks = hot_join(single, written(least, "least"), ["window", "window2"], "rows").filter("doc_id > lo").groupBy("run", "run2").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
+    settled = written(kinds.select("run", "run2", F.col("at.doc_id").alias("lo"), "copies").join(masks, ["run", "run2"], "left"), "settled")
+    spans = hot_join(found, settled, ["run", "run2"], "copies").filter("doc_id > lo or mask is not null")
     spans = spans.select(F.col("doc_id").alias("doc"), F.struct("first", "n", F.when(F.col("doc_id") > F.col("lo"), F.lit(None)).otherwise(F.col("mask")).cast("long").alias("mask")).alias("span"))
     return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
