@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vellum.llm import common, simhash, substrings
+from vellum.llm import common, near_copies, simhash, substrings
 
 SCHEMA = "doc_id long, text string, component_id long, run string"
 
@@ -151,8 +151,9 @@ def test_simhash_edge_cases(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == 5 and {(r.fingerprint, r.component_id) for r in got} == {("0" * 16, 2)}
-    kept = simhash.deduplicated(docs)
+    kept = near_copies.deduplicated(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert near_copies.deduplicated(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("hot", [10_000, 1])
@@ -162,7 +163,7 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark, monkeypatch, ho
     a, b, c, d, e = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(5))
     rows = [(None, a), (None, a), (None, b), (5, c), (5, c), (5, d), (3, e), (5, e), (None, e), (8, d), (None, c)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, simhash.deduplicated(docs).collect()), key=str)
+    got = sorted(map(tuple, near_copies.deduplicated(docs).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (5, c), (5, d), (3, e)], key=str)
 
 
@@ -172,3 +173,61 @@ def test_chains_run_through_null_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one"), (None, "two"), (3, "three"), (3, "four")], "doc_id long, text string")
     got = sorted((r.fingerprint, r.component_id, r.n_links) for r in simhash.near_duplicates(docs).collect())
     assert got == [(f"{f:016x}", 1, n) for f, n in ((0b1, 1), (0b111, 2), (0b11111, 2), (0b1111111, 1))]
+
+
+def near_by_definition(texts, words=5, similarity=0.8):
+    """The smallest position reachable over similar pairs, for each text."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common_ = len(sets[i] & sets[j])
+            union = len(sets[i]) + len(sets[j]) - common_
+            if not union or common_ >= similarity * union - 1e-9:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block,hot", [(1024, 10_000), (4, 3)])
+def test_near_copies_match_the_definition(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = ["", None, " ", "a b", "A  b", "a b c d e", "a b c d e f", "\n".join(["same line of six words here"] * 50)]
+    for size in (8, 30, 100, 300, 2000):
+        for _ in range(4):
+            base = [rnd.choice(vocabulary) for _ in range(size)]
+            for _ in range(12):
+                w = list(base)
+                for _ in range(rnd.randint(0, max(1, size // 60))):
+                    w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+                texts.append(" ".join(w[: len(w) - rnd.randint(0, size // 30)]))
+    shared = " ".join(rnd.choice(vocabulary) for _ in range(60))
+    texts += [shared + " " + " ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(30)]
+    rnd.shuffle(texts)
+    want = {i for i, r in enumerate(near_by_definition(texts)) if i == r}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    assert got == want and 60 < len(want) < len(texts) - 100
+
+
+def test_copies_of_copies_chain(spark):
+    rnd = random.Random(10)
+    w = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for _ in range(12):
+        texts.append(" ".join(w))
+        w = w[8:] + [f"w{rnd.randrange(9000)}" for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.deduplicated(docs).collect()] == [0]

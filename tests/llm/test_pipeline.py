@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from vellum.llm import mixing, toxicity
-from tests.llm.test_dedup import components_by_definition, fingerprint_by_definition
+from tests.llm.test_dedup import near_by_definition
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,9 +43,9 @@ def test_stages(spark, tables, tmp_path):
             ids = {r.doc_id for r in after}
             assert sum(i in ids for i in range(0, 300, 5)) <= 3 and sum(i in ids for i in range(300) if i % 5) >= 237
         elif name == "simhash_near_dedup":
-            fps = {r.doc_id: fingerprint_by_definition(r.text) for r in before}
-            keep = {d for d, c in components_by_definition(fps).items() if d == c}
-            assert docs.columns == COLUMNS and sorted(r.doc_id for r in after) == sorted(keep)
+            rows = sorted(before, key=lambda r: r.doc_id)
+            keep = [rows[i].doc_id for i, r in enumerate(near_by_definition([r.text for r in rows])) if i == r]
+            assert docs.columns == COLUMNS and sorted(r.doc_id for r in after) == keep
         elif name == "pii":
             assert len(after) == len(before) and not any("@" in (r.text or "") for r in after)
             assert {r.doc_id: r.text for r in before if "@" not in (r.text or "")}.items() <= {r.doc_id: r.text for r in after}.items()

@@ -30,13 +30,21 @@ PIVOTS, BAND = 32, 4096
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The fingerprint of one text, as an unsigned integer."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; space and U+0009 to U+000D part them."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle are hashed whole."""
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -44,6 +52,11 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """The fingerprint of one text, as an unsigned integer."""
+    return majority(shingles(words_of(text), words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every document; a null text counts as empty, with fingerprint zero."""
 
@@ -69,9 +82,9 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 1) for i in range(n)], np.uint64)
 
 
-def near_pairs(fps: np.ndarray, band: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(fps: np.ndarray, band: np.ndarray, most: int = 2, n_pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the pairs inside a band that differ in at most `most` bits."""
-    refs = pivots()
+    refs = pivots(n_pivots)
     first = np.bitwise_count(fps ^ refs[0]).astype(np.int16)
     order = np.lexsort((first, band))
     fps, band = fps[order], band[order]
@@ -176,38 +189,3 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     fps = written(fingerprints(docs, words), "fingerprints")
     out = hot_join(fps, grouped(fps), "fp", "copies")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
-
-
-def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with the column _fp."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t or "", words) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-
-
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One row of each component, all columns kept: the one with the smallest doc_id, nulls last, then the smallest text.
-
-    A doc_id that occurs once names its row. Rows whose doc_id is null or repeated are few as a rule: their
-    fingerprints are taken again, so that a row is judged by its own component.
-    """
-    fps = written(fingerprints(docs, words), "fingerprints")
-    named = grouped(fps)
-    repeated = written(fps.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
-    keep = hot_join(fps, named, "fp", "copies").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep"))
-    keep = keep.join(repeated, keep["_keep"] == repeated["doc_id"], "left_anti")
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    rest = [docs.filter("doc_id is null")] if named.filter("component_id is null").limit(1).count() else []
-    if repeated.limit(1).count():
-        rest.append(hot_join(docs, repeated, "doc_id", "n", "left_semi").select(docs.columns))
-    heads = named.select(F.col("fp").alias("_fp"), F.col("top").alias("_top"), F.col("component_id").alias("_least"), F.col("copies").alias("_copies"))
-    for rows in rest:
-        own = hot_join(with_fingerprint(rows, words), heads, "_fp", "_copies").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-        row = F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row")
-        kept = kept.unionByName(own.select("_top", row).groupBy("_top").agg(F.min("row").alias("row")).select("row.*").select(docs.columns))
-    return kept
