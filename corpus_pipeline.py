@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, pieces, pii, simhash, toxicity
+from vellum.llm import mixing, near_copies, pieces, pii, toxicity
 from vellum.llm.common import ship, small_batches, table, written
 
 
@@ -24,10 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints chain within two bits, the one with the smallest doc_id."""
+    """One document of each group that chains over five-word shingle similarities of 0.8 or more, the one with the smallest doc_id."""
     ship(spark)
     small_batches(spark)
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
