@@ -198,7 +198,7 @@ def near_by_definition(texts, words=5, similarity=0.8):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block,hot", [(1024, 10_000), (4, 3)])
+@pytest.mark.parametrize("block,hot", [(512, 10_000), (4, 3)])
 def test_near_copies_match_the_definition(spark, monkeypatch, block, hot):
     monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(common, "HOT_ROWS", hot)

@@ -7,10 +7,11 @@ with a chance of 0.0002, one of 0.9 with 10^-7. Of the candidates of a band, the
 Hamming distance discard those that differ in over BITS bits, the sizes those that cannot reach the
 similarity, and what survives is verified over all shingles.
 
-Equal word sequences are one node. First every node is verified against its nearest candidate only; then
-the candidates that lie in different components, all of them. Pairs inside a component are never
-expanded. A band of more than BLOCK nodes is cut into blocks, and each pair of blocks is one row: nothing
-is dropped and no task holds more than two blocks of a band.
+Equal word sequences are one node. Survivors tie nodes into clusters, of which only a spanning set of
+pairs is written; the shingle sets of a cluster then meet once, and its candidates are verified where
+they are not tied yet. A band of more than BLOCK nodes, or a cluster of more than that or SHINGLES
+shingles, is cut into blocks, and each pair of blocks is one group: nothing is dropped, no task holds
+more than two blocks (a longer text is a block of its own), and no pair is written but a tie.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Most differing bits of a candidate (4.5 standard deviations above the mean at 0.8), and pivots of a band's table.
 BITS, PIVOTS = 22, 8
-#: Nodes of a block, and comparisons that a worker holds at once.
-BLOCK, AT_ONCE = 1024, 1 << 22
+#: Nodes of a block, shingles of a block on average, and comparisons that a worker holds at once.
+BLOCK, SHINGLES, AT_ONCE = 512, 1 << 19, 1 << 20
 FACTORS = np.array([xxhash.xxh64_intdigest(b"factor %d" % i, 1) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -85,61 +85,55 @@ def with_node(docs: DataFrame) -> DataFrame:
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """(all): lists of the rows (key, node, fp, n, top) that meet, of bands with rows of different tops."""
-    mark = F.xxhash64("top")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi")
+    """(all): lists of the rows (key, node, fp, n) that meet, of bands with several rows."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     sizes = written(sizes.select("key", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "sizes")
-    met = hot_join(rows, sizes, "key", "rows").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt(hot_join(rows, sizes, "key", "rows"))
+    return met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "fp", "n")).alias("all")).select("all")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, each once for every pair (i, j) of the `blocks` of its key that holds its own block."""
+    met = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    item = F.struct("node", "fp", "n", "top")
-    return met.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(item).alias("all")).select("all")
-
-
-def survivors(b: pa.RecordBatch, similarity: float) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, i, j, bits): positions of the pairs of a cell that pass pivots, distance and size, and lie in different tops."""
-    lists = b.column(0)
-    ends = np.asarray(lists.offsets).astype(np.int64)
-    ends = ends - ends[0]
-    items = lists.flatten()
-    nodes, fps, n = items.field(0), np.asarray(items.field(1)).view(np.uint64), np.asarray(items.field(2))
-    tops = np.asarray(pc.dictionary_encode(items.field(3)).indices)
-    cost = np.cumsum(np.diff(ends) ** 2)
-    at = 0
-    while at < len(cost):
-        done = cost[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(cost, done + AT_ONCE, "right")))
-        lo, hi = ends[at], ends[to]
-        cell = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
-        i, j = near_pairs(fps[lo:hi], cell, BITS, PIVOTS)
-        i, j = i + lo, j + lo
-        fits = (tops[i] != tops[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-        i, j = i[fits], j[fits]
-        yield nodes, i, j, np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
-        at = to
-
-
-def nearest(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, bits, other): each node's nearest survivor in a cell."""
+    return met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for nodes, i, j, bits in survivors(b, similarity):
-                one, two, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bits, bits])
-                order = np.lexsort((two, far, one))
-                one, two, far = one[order], two[order], far[order]
-                first = np.flatnonzero(np.diff(one, prepend=-1))
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(one[first])), pa.array(far[first]), nodes.take(pa.array(two[first]))], ["node", "bits", "other"])
 
-    return run
+def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n positions the smallest that it reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def crossing(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, other): all survivors of a cell."""
+def proposed(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b): in each cell, every node with the first that it reaches over pairs that pass pivots, distance and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for nodes, i, j, _ in survivors(b, similarity):
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], ["node", "other"])
+            lists = b.column(0)
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            ends = ends - ends[0]
+            items = lists.flatten()
+            nodes, fps, n = items.field(0), np.asarray(items.field(1)).view(np.uint64), np.asarray(items.field(2))
+            cost = np.cumsum(np.diff(ends) ** 2)
+            at = 0
+            while at < len(cost):
+                to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + AT_ONCE, "right")))
+                lo, hi = ends[at], ends[to]
+                i, j = near_pairs(fps[lo:hi], np.repeat(np.arange(at, to), np.diff(ends[at : to + 1])), BITS, PIVOTS)
+                size = n[lo:hi]
+                fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+                label = smallest_reached(hi - lo, i[fits], j[fits])
+                tied = np.flatnonzero(label != np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(tied + lo)), nodes.take(pa.array(label[tied] + lo))], ["node", "other"])
+                at = to
 
     return run
 
@@ -149,47 +143,76 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def linked(fps: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that tie the sets together as all pairs would that share a band, pass distance and size and reach the similarity.
+
+    A pair whose ends are tied already is not compared.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(every), bool)
+    root, found = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        js = np.arange(i + 1, len(n))
+        js = js[(root[js] != root[i]) & (np.bitwise_count(fps[js] ^ fps[i]) <= BITS) & (np.minimum(n[js], n[i]) >= similarity * np.maximum(n[js], n[i]) - 1e-9)]
+        js = js[(keys[js] == keys[i]).any(axis=1)]
+        if not len(js):
+            continue
+        mine[ids[ends[i] : ends[i + 1]]] = True
+        for j in js:
+            if root[j] == root[i]:
+                continue
+            both = np.count_nonzero(mine[ids[ends[j] : ends[j + 1]]])
+            if both >= similarity * (n[i] + n[j] - both) - 1e-9:
+                found.append((i, int(j)))
+                root[root == root[j]] = root[i]
+        mine[ids[ends[i] : ends[i + 1]]] = False
+    return found
+
+
+def verified(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """(node, other): links of the nodes (node, fp, bands, h) of one pair of blocks of a cluster."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes = rows["node"].combine_chunks()
+        fps = np.asarray(rows["fp"].combine_chunks()).view(np.uint64)
+        keys = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(len(fps), BANDS)
+        lists = rows["h"].combine_chunks()
+        cuts = np.asarray(lists.offsets).astype(np.int64)
+        hashes = np.asarray(lists.values)
+        pairs = linked(fps, keys, [hashes[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], similarity)
+        i, j = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.table({"node": nodes.take(i), "other": nodes.take(j)})
+
+    return run
+
+
 def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, h): the distinct shingle hashes of the wanted nodes."""
+    """wanted (node, ...) with h, the distinct shingle hashes of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.unique(shingles(words_of(t or ""), words)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
 
-    texts = with_node(docs.select("text")).withColumnRenamed("_node", "node").join(wanted, "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node binary, h array<long>")
-
-
-def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, those of known (node, h), reach the similarity."""
-    uses = pairs.groupBy("a").agg(F.count("*").alias("uses"))
-    left = written(known.join(uses, known["node"] == uses["a"]).select("a", F.col("h").alias("ha"), "uses"), "left")
-    more = pairs.groupBy("b").agg(F.count("*").alias("uses"))
-    right = written(known.join(more, known["node"] == more["b"]).select("b", F.col("h").alias("hb"), "uses"), "right")
-    both = hot_join(hot_join(pairs, left, "a", "uses"), right, "b", "uses")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(common >= similarity * (F.size("ha") + F.size("hb") - common) - F.lit(1e-9)).select("a", "b")
+    texts = with_node(docs.select("text")).withColumnRenamed("_node", "node").join(wanted.select("node"), "node", "left_semi")
+    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node binary, h array<long>").join(wanted, "node")
 
 
 def grouped(docs: DataFrame, sketched: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, top, least, copies) of each node: its component's smallest node and smallest doc_id, and its rows."""
     rest = [F.first(c).alias(c) for c in ("fp", "n", "bands")]
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"), *rest), "nodes")
-    rows = nodes.select("node", "fp", "n", F.col("node").alias("top"), F.explode("bands").alias("key"))
-    best = cells(rows).mapInArrow(nearest(similarity), "node binary, bits long, other binary")
-    best = written(best.groupBy("node").agg(F.min_by("other", F.struct("bits", "other")).alias("other")), "nearest")
-    known = written(sets(docs, best.select("node"), words), "sets")
-    first = written(ordered(best), "first")
-    links = written(verified(first, known, similarity), "links")
-    tops = components(links)
-    near = rows.drop("top").join(best.select("node"), "node", "left_semi")
-    near = near.join(tops.select(F.col("a").alias("node"), F.col("b").alias("top")), "node", "left").withColumn("top", F.coalesce("top", "node"))
-    others = cells(near).mapInArrow(crossing(similarity), "node binary, other binary")
-    others = written(ordered(others).join(first, ["a", "b"], "left_anti"), "crossing")
-    more = written(verified(others, known, similarity), "links")
-    if more.limit(1).count():
-        tops = components(links.unionByName(more))
+    rows = nodes.select("node", "fp", "n", F.explode("bands").alias("key"))
+    near = components(ordered(cells(rows).mapInArrow(proposed(similarity), "node binary, other binary")))
+    ends = near.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("cluster")).distinct()
+    ends = written(ends.join(nodes.select("node", "fp", "n", "bands"), "node"), "clustered")
+    size = F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
+    sizes = written(ends.groupBy("cluster").agg(F.count("*").alias("members"), size), "clusters")
+    met = dealt(sets(docs, hot_join(ends.drop("n"), sizes, "cluster", "members"), words))
+    links = met.groupBy("cluster", "i", "j").applyInArrow(verified(similarity), "node binary, other binary")
+    tops = components(ordered(links))
     named = nodes.join(tops, nodes["node"] == tops["a"], "left").select("node", F.coalesce("b", "node").alias("top"), "own", "copies")
     named = written(named, "tops")
     heads = written(named.groupBy("top").agg(F.min("own").alias("least"), F.count("*").alias("nodes")), "heads")
