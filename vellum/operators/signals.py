@@ -9,6 +9,7 @@ from vellum.config import BARS
 from vellum.functions.text import parent
 from vellum.operators.index import NoteIndex
 from vellum.operators.pairs import jaccard, ranked, related, related_all, scored_pairs, stem_sets, with_overlap
+from vellum.operators.ranks import rank_within
 
 #: The kinds of the queue in order, with singular and plural.
 KINDS = {
@@ -132,8 +133,7 @@ def queue_signals(index: NoteIndex, links: DataFrame, dangling: DataFrame) -> Da
 def attention_queue(index: NoteIndex, links: DataFrame, dangling: DataFrame, limit: int = 100) -> DataFrame:
     """(path, score, reason): notes by how much they need a look, the four signals fused by rank."""
     told = queue_signals(index, links, dangling)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "path"))
-    placed = told.withColumn("rn", place)
+    placed = rank_within(told, "rn", ["kind"], [F.col("score").desc(), F.col("path")])
     count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     rows = placed.groupBy("path").agg(F.sum(1.0 / (BARS.rrf + F.col("rn"))).alias("score"), *[count(k).alias(k) for k in KINDS])
     words = [F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(" "), F.when(F.col(k) == 1, one).otherwise(many))) for k, (one, many) in KINDS.items()]

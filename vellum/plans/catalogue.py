@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import STOPWORDS, clean, community_colour
-from vellum.operators import diffs, graph, index, mentions, pairs, search, signals
+from vellum.operators import diffs, graph, index, mentions, pairs, ranks, search, signals
 from vellum.sources import notes as vault
 from vellum.streaming import folds
 
@@ -35,12 +35,15 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def pairs_of_texts(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, before, after, doc, kind): each document against the one before it of its source, cut to paragraphs."""
-    from pyspark.sql import Window
-
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("before"))
-    after = F.coalesce(F.lag("before").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(""))
-    rows = docs.withColumn("other", after)
+    """(doc_id, before, after, doc, kind): each document against the one before it of its source, cut to paragraphs.
+
+    Only ids are ordered; the texts meet by doc_id, which names a document.
+    """
+    read = spark.read.parquet(f"{d}/documents.parquet")
+    docs = read.select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
+    ids = ranks.with_previous(read.select("doc_id", "source"), "prior", "doc_id", ["source"], "doc_id").select("doc_id", "prior")
+    earlier = docs.select(F.col("doc_id").alias("prior"), F.col("before").alias("other"))
+    rows = docs.join(ids, "doc_id").join(earlier, "prior", "left").withColumn("other", F.coalesce("other", F.lit("")))
     lines = F.split("before", "\n")
     edited = F.concat_ws("\n", F.element_at(F.split("other", "\n"), 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 1), "\n"))
     return rows.select("doc_id", "before", edited.alias("after"), edited.alias("doc"), F.lit("modify").alias("kind"))
