@@ -189,15 +189,20 @@ def verified(similarity: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """wanted (node, ...) with h, the distinct shingle hashes of each node."""
+    """wanted (node, own, ...) with h, the distinct shingle hashes of each node, from the text of its smallest doc_id.
+
+    Documents are chosen by doc_id before their texts meet, so the copies of a text do not; those without an id all come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.unique(shingles(words_of(t or ""), words)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
 
-    texts = with_node(docs.select("text")).withColumnRenamed("_node", "node").join(wanted.select("node"), "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node binary, h array<long>").join(wanted, "node")
+    ids = wanted.filter("own is not null").select("own")
+    chosen = docs.join(ids, docs["doc_id"] == ids["own"], "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
+    texts = with_node(chosen).withColumnRenamed("_node", "node").join(wanted.select("node"), "node", "left_semi")
+    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node binary, h array<long>").join(wanted.drop("own"), "node")
 
 
 def grouped(docs: DataFrame, sketched: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,7 +212,7 @@ def grouped(docs: DataFrame, sketched: DataFrame, words: int = WORDS, similarity
     rows = nodes.select("node", "fp", "n", F.explode("bands").alias("key"))
     near = components(ordered(cells(rows).mapInArrow(proposed(similarity), "node binary, other binary")))
     ends = near.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("cluster")).distinct()
-    ends = written(ends.join(nodes.select("node", "fp", "n", "bands"), "node"), "clustered")
+    ends = written(ends.join(nodes.select("node", "own", "fp", "n", "bands"), "node"), "clustered")
     size = F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
     sizes = written(ends.groupBy("cluster").agg(F.count("*").alias("members"), size), "clusters")
     met = dealt(sets(docs, hot_join(ends.drop("n"), sizes, "cluster", "members"), words))
