@@ -40,6 +40,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table's folder, below the shared folder only."""
+    if not path.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError(f"not in the shared folder: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table's scan, dealt to all cores where its files give fewer tasks than that and hold at most SMALL bytes.
 
