@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import fingerprints, html_text, mixing, pieces, pii, simhash, substrings, token_counts, topk, toxicity
+from vellum.llm import collocations, fingerprints, html_text, lines, mixing, pieces, pii, simhash, substrings, token_counts, topk, toxicity, whitening
 from vellum.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
+        "op11_lines": op11_lines,
+        "op12_whitening": op12_whitening,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -81,5 +96,44 @@ from s qualify rank <= 20
 """
 
 
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = f"""
+with l as (
+  select rid, doc_id, pos, line, translate(trim(line, {SPACES}), {LOWER}) as key from (
+    select rid, doc_id, unnest(range(len(s))) as pos, unnest(s) as line from (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents)
+  )
+), common as (select key from l where length(key) >= 1 group by key having count(distinct rid) >= 10)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(c.key) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where c.key is null), '')) as kept_sha256
+from l left join common c on l.key = c.key group by rid
+"""
+
+OP13_SQL = f"""
+with pieces as (
+  select row_number() over () as id, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') as w
+  from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[.,;:!?\n\x0B\x0C\r]')) as piece from documents)
+), grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, range(1, 6) t(k))
+), f as (
+  select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 100
+), total as (select lang, sum(len(w)) as n from pieces group by lang
+), cuts as (
+  select lang, k as size, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, k)) as cut from f where k > 1
+), parts as (
+  select c.lang, c.size, c.phrase, c.a, c.cut, l.f as l, r.f as r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[:c.cut], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.cut + 1 :], ' ')
+  join total t on t.lang = c.lang
+), best as (
+  select lang, size, phrase, a, l, r, n, score from parts qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), held as (
+  select distinct s.lang, s.phrase from best s join best b on b.lang = s.lang and b.size > s.size and contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') and 100 * b.a >= 100 * s.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from best where (lang, phrase) not in (select (lang, phrase) from held) qualify rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op6_topk": OP6_SQL, "op11_lines": OP11_SQL, "op13_collocations": OP13_SQL}
