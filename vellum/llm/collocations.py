@@ -5,11 +5,13 @@ Two sketch passes, one exact pass. The first sketch counts words and pairs, the
 cells that are not zero, by blocks; equal blocks are added as sorted streams. A cell is only asked whether
 it reaches `least`, so counts are cut at `least` before and after adding, which changes no answer, and the
 merged sketch comes down to one bit for each cell. A cell holds at least the count of each phrase in it,
-so every phrase with `least` occurrences survives, and so do all phrases inside it. The third pass counts
-the survivors exactly, by the words themselves, and drops those that only seemed frequent.
+so every phrase with `least` occurrences survives, and so do all phrases inside it. The second pass also
+marks the words of surviving pairs, as no other word is part of a phrase. The third pass counts the
+survivors exactly, by the words themselves and summed in the task, and drops those that only seemed frequent.
 
 Cells grow with the input, from 2^16 to 2^MAX_BITS a row: what is broadcast is DEPTH rows of one bit for
-each cell, twice, 64 MB at most. A larger corpus lets more phrases through to the exact pass; none is lost.
+each cell, twice, and the marks, 68 MB at most. A larger corpus lets more phrases through to the exact pass;
+none is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from vellum.llm.common import hot_join, parallelism, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 DEPTH, MAX_BITS, BLOCK_BITS = 2, 27, 16
-#: Bytes of text that are counted at once (a longer text alone).
-CHUNK = 8 << 20
+#: Bytes of text that are counted at once (a longer text alone), and phrases that a task sums before it sends them on.
+CHUNK, HELD = 8 << 20, 1_000_000
 #: Piece separators become line feeds, tabs become spaces, A to Z are lower-cased.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKEN = re.compile(rb"[^ \n]+|\n")
@@ -80,13 +82,17 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h * ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def survives(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the cells of every row reach the bar; sketch: a row of bits for each hash row."""
-    bits = int(sketch.shape[1]).bit_length() + 2
+def bits_of(row: int, bits: int) -> int:
+    """Cells of a row, as a power of two: counts have DEPTH rows, the marks of words one that is smaller."""
+    return bits if row < DEPTH else max(6, bits - 2)
+
+
+def survives(rows: list[np.ndarray], h: np.ndarray, marks: bool = False) -> np.ndarray:
+    """Whether the cells of all rows of counts, or the cell of the marks, are set; 8 cells to a byte."""
     out = np.ones(len(h), bool)
-    for row in range(DEPTH):
-        at = cells(h, row, bits)
-        out &= (sketch[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    for row in [DEPTH] if marks else range(DEPTH):
+        at = cells(h, min(row, DEPTH - 1), len(rows[row]).bit_length() + 2)
+        out &= (rows[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
     return out
 
 
@@ -99,30 +105,33 @@ def inside(ids: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 def counted(bits: int, least: int, longest: int, pairs=None):
-    """(row, block, cells, counts): a task's sketch of words and pairs or, given the sketch of these, of longer phrases."""
+    """(row, block, cells, counts): a task's sketch of words and pairs or, given the sketch of these, of longer phrases and the marks of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.min_scalar_type(least)
-        table = np.zeros((DEPTH, 1 << bits), kind)
+        table = [np.zeros(1 << bits_of(row, bits), np.min_scalar_type(least)) for row in range(DEPTH if pairs is None else DEPTH + 1)]
         for lang, ids, words in chunks(batches):
             h = hashes(lang, ids, words, 2 if pairs is None else longest)
             fit = inside(ids, len(h))
             if pairs is None:
                 found = [h[m][fit[m]] for m in (0, 1)]
             else:
-                good, found = fit[1] & survives(pairs.value, h[1]), []
+                good, found = fit[1] & survives(pairs.value, h[1]), [np.zeros(0, np.uint64)]
+                of_good = np.zeros(len(ids), bool)
+                of_good[:-1] |= good
+                of_good[1:] |= good
+                table[DEPTH][cells(np.unique(h[0][of_good]), DEPTH - 1, bits_of(DEPTH, bits))] = least
                 run_of = good
                 for m in range(3, longest + 1):
                     run_of = run_of[:-1] & good[m - 2 :]
                     found.append(h[m - 1][run_of & fit[m - 1]])
-            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            every = np.concatenate(found)
             for row in range(DEPTH):
                 at, n = np.unique(cells(every, row, bits), return_counts=True)
-                table[row, at] = np.minimum(table[row, at].astype(np.int64) + n, least)
-        block = 1 << min(bits, BLOCK_BITS)
-        for row in range(DEPTH):
-            for b in range((1 << bits) // block):
-                part = table[row, b * block : (b + 1) * block]
+                table[row][at] = np.minimum(table[row][at].astype(np.int64) + n, least)
+        for row, counts in enumerate(table):
+            block = min(len(counts), 1 << BLOCK_BITS)
+            for b in range(len(counts) // block):
+                part = counts[b * block : (b + 1) * block]
                 at = np.flatnonzero(part)
                 if len(at):
                     yield pa.RecordBatch.from_pylist([{"row": row, "block": b, "cells": at.astype(np.uint16).tobytes(), "counts": part[at].tobytes()}], SENT)
@@ -145,7 +154,7 @@ def added(bits: int, least: int):
                 if (r["row"], r["block"]) != at:
                     if at is not None:
                         yield send()
-                    at, total = (r["row"], r["block"]), np.zeros(1 << min(bits, BLOCK_BITS), np.int64)
+                    at, total = (r["row"], r["block"]), np.zeros(1 << min(bits_of(r["row"], bits), BLOCK_BITS), np.int64)
                 total[np.frombuffer(r["cells"], np.uint16)] += np.frombuffer(r["counts"], kind)
         if at is not None:
             yield send()
@@ -153,52 +162,66 @@ def added(bits: int, least: int):
     return run
 
 
-def sketch(texts: DataFrame, bits: int, least: int, longest: int, pairs=None) -> np.ndarray:
-    """The merged sketch: DEPTH rows of 2^bits bits, 8 in a byte."""
+def sketch(texts: DataFrame, bits: int, least: int, longest: int, pairs=None) -> list[np.ndarray]:
+    """The merged sketch: rows of cells, 8 to a byte, set where a count reaches least; given pairs, the marks of words come last."""
     sent = texts.mapInArrow(counted(bits, least, longest, pairs), "row int, block int, cells binary, counts binary")
     order = sent.repartition(parallelism(texts.sparkSession), "row", "block").sortWithinPartitions("row", "block")
-    out = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    size = (1 << min(bits, BLOCK_BITS)) // 8
+    out = [np.zeros((1 << bits_of(row, bits)) // 8, np.uint8) for row in range(DEPTH if pairs is None else DEPTH + 1)]
     for r in order.mapInArrow(added(bits, least), "row int, block int, reached binary").toLocalIterator():
-        out[r["row"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["reached"], np.uint8)
+        part = np.frombuffer(r["reached"], np.uint8)
+        out[r["row"]][r["block"] * len(part) : (r["block"] + 1) * len(part)] = part
     return out
 
 
 def survivors(pairs, longer, longest: int):
-    """(lang, phrase, f): what survives in each chunk, counted by its words, and as the empty phrase all words."""
+    """(lang, phrase, f): what survives, counted by its words and summed in the task, and as the empty phrase all words."""
+
+    def found(lang: str, ids: np.ndarray, words: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+        h, fit = hashes(lang, ids, words, longest), inside(ids, longest)
+        yield [b""], [int(fit[0].sum())]
+        group, live = ids.astype(np.int64), None
+        for m in range(1, longest + 1):
+            may = fit[m - 1] if live is None else live[:-1] & live[1:] & fit[m - 1]
+            at = np.flatnonzero(may)
+            at = at[survives((pairs if m == 2 else longer).value, h[m - 1][at], m == 1)]
+            # a phrase is its first words, numbered before, and its last word
+            key = ids[at].astype(np.int64) if m == 1 else group[at] * len(words) + ids[at + m - 1]
+            _, first, same, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            yield [b" ".join([words[w] for w in row]) for row in ids[at[first][:, None] + np.arange(m)].tolist()], n.tolist()
+            live, group = np.zeros(len(may), bool), np.zeros(len(may), np.int64)
+            live[at], group[at] = True, same
+
+    def sent(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            phrases, f = pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())
+            for lo in range(0, len(f), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f[part])), phrases[part], f[part]], ["lang", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[bytes, int]] = {}
         for lang, ids, words in chunks(batches):
-            h, fit = hashes(lang, ids, words, longest), inside(ids, longest)
-            phrases, counts = [b""], [int(fit[0].sum())]
-            group, live = ids.astype(np.int64), None
-            for m in range(1, longest + 1):
-                may = fit[m - 1] if live is None else live[:-1] & live[1:] & fit[m - 1]
-                at = np.flatnonzero(may)
-                at = at[survives((pairs if m < 3 else longer).value, h[m - 1][at])]
-                # a phrase is its first words, numbered before, and its last word
-                key = ids[at].astype(np.int64) if m == 1 else group[at] * len(words) + ids[at + m - 1]
-                _, first, same, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                phrases += [b" ".join([words[w] for w in row]) for row in ids[at[first][:, None] + np.arange(m)].tolist()]
-                counts += n.tolist()
-                live, group = np.zeros(len(may), bool), np.zeros(len(may), np.int64)
-                live[at], group[at] = True, same
-            for lo in range(0, len(phrases), 100_000):
-                part = phrases[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[lo : lo + 100_000], pa.int64())], ["lang", "phrase", "f"])
+            counts = held.setdefault(lang, {})
+            for phrases, f in found(lang, ids, words):
+                for phrase, n in zip(phrases, f, strict=True):
+                    counts[phrase] = counts.get(phrase, 0) + n
+            if sum(map(len, held.values())) >= HELD:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> DataFrame:
-    """(lang, phrase, f): every phrase of up to `longest` words with f >= least, exactly, and all words as the empty phrase."""
+    """(lang, phrase, f): every phrase of two to `longest` words with f >= least, exactly, every word of one, and all words as the empty phrase."""
     sc = docs.sparkSession.sparkContext
     if bits is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         bits = min(MAX_BITS, max(16, (size // 32).bit_length()))
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     pairs = sc.broadcast(sketch(texts, bits, least, longest))
-    longer = sc.broadcast(sketch(texts, bits, least, longest, pairs)) if longest > 2 else pairs
+    longer = sc.broadcast(sketch(texts, bits, least, longest, pairs))
     found = texts.mapInArrow(survivors(pairs, longer, longest), "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
