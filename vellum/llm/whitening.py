@@ -118,7 +118,7 @@ def fitted(fit: DataFrame, dims: int, components: int) -> dict | None:
     """n, S, the components as columns, their eigenvalues, explained shares and identity_error; None for an empty list."""
     size = fit.agg(F.count("*").alias("n"), F.max("top").alias("top")).first()
     n = size["n"]
-    if not n or not dims:
+    if not n:
         return None
     sums = scatter(fit, dims, primes(2 * n * max(1, size["top"]) ** 2))
     s = [sums[i][dims] for i in range(dims)]
@@ -183,8 +183,7 @@ def whitened(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_i
     """
     good = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).filter(valid(F.col("_v")))
     dims = good.agg(F.max(F.size("_v")).alias("d")).first()["d"] or 0
-    fit = written(fit_list(good, "_v", dims), "fit-list")
-    model = fitted(fit, dims, components)
+    model = fitted(written(fit_list(good, "_v", dims), "fit-list"), dims, components) if dims else None
     id_type = rows.schema[id_col].dataType.simpleString()
     names = [id_col, "component", "n", "deviation", "whitened", "explained", "identity_error"]
     schema = f"`{id_col}` {id_type}, component int, n long, deviation long, whitened double, explained double, identity_error double"
