@@ -61,10 +61,6 @@ def test_columns(spark):
     assert {r.line for r in diffs.added_lines(diffs.hunk_ranges(rows), "id").filter("id = 9").collect()} == {1, 3}
 
 
-def write(path, before, after, kind="modify", old=None):
-    return {"path": path, "kind": kind, "before": before, "after": after, "from": old}
-
-
 def test_pairs_of_texts_keep_every_line(spark, tmp_path):
     texts = {1: "one", 2: "\n".join(f"line {i}" for i in range(2500)), 3: "", 4: None}
     spark.createDataFrame([(i, "s", t) for i, t in texts.items()], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -73,19 +69,6 @@ def test_pairs_of_texts_keep_every_line(spark, tmp_path):
     assert {i: got[i] for i in (1, 3, 4)} == {1: "\n", 3: "line 0\n", 4: "\n"}
 
 
-def test_change_fold(spark):
-    held = {}
-    for c in (write("a", "one\ntwo\nx", "one\nTWO\nx"), write("a", "one\nTWO\nx\nmine", "ONE\nTWO\nx\nmine"), write("b", "", "x"), write("b", "x", ""), write("c", "", "new"), write("d", "new", "new", "rename", "c")):
-        folds.fold_change(held, c)
-    assert held["a"]["before"] == "one\ntwo\nx\nmine" and "b" not in held and held["d"]["before"] == "" and held["d"]["kind"] == "create"
-    for i in range(250):
-        folds.fold_change(held, write(f"f{i}", "", "x"))
-    assert len(held) == folds.MAX_CHANGED and "a" not in held
-    rows = [("s", i, *(c[k] for k in ("path", "kind", "before", "after", "from"))) for i, c in enumerate((write("a", "1", "2"), write("z", "2", "2", "rename", "a")))]
-    got = folds.change_fold(spark.createDataFrame(rows, "session string, seq long, path string, kind string, before string, after string, `from` string")).collect()
-    assert [(r.path, r.before, r["from"]) for r in got] == [("z", "1", "a")]
-
-
 FRAMES = [
     {"type": "chat_event", "event": {"type": "delta", "kind": "text", "text": "he"}},
     {"type": "chat_event", "event": {"type": "delta", "kind": "reasoning", "text": "no"}},
@@ -117,13 +100,3 @@ def test_chat_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.text, r.done) for r in spark.table("turns").filter("turn = 't' and done").collect()} == {("hey", True)}
-
-
-def test_maintained_index(spark, tmp_path):
-    schema = "path string, basename string, mtime long, content string"
-    spark.createDataFrame([("a", "a", 1, "alpha beta"), ("b", "b", 1, "gamma")], schema).write.parquet(str(tmp_path / "in"))
-    start = lambda: folds.maintain_index(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    start()
-    spark.createDataFrame([("a", "a", 2, "delta")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    start()
-    assert {(r.path, r.stem) for r in folds.current_counts(spark, str(tmp_path / "index")).collect()} == {("a", "delta"), ("b", "gamma")}

@@ -160,9 +160,6 @@ def test_vault_edits(spark):
         vault.read_note(notes, "none.md")
     with pytest.raises(ValueError):
         vault.request(notes, "erase")
-    props = notes.withColumn("properties", F.create_map(F.lit("k"), F.lit("v")))
-    done = vault.set_property(props, spark.createDataFrame([("a.md", "k", "w")], "path string, name string, value string"))
-    assert {r.path: r.properties for r in done.collect()} == {"a.md": {"k": "w"}, "b.md": {"k": "v"}}
 
 
 def test_folder_source(spark, tmp_path):
@@ -194,23 +191,83 @@ def test_bridge_keeps_communities_apart_and_layout_fills_the_box(spark):
     assert sorted(map(tuple, placed)) == sorted(map(tuple, graph.layout(edges, nodes).collect()))
 
 
-def test_component_split_equals_one_run():
-    import random
+def test_colours_are_strings(spark):
+    assert json.dumps(one(spark, text.community_colour(F.lit(0)))) == '"hsl(212.0, 66%, 70%)"'
 
-    rnd = random.Random(5)
-    parts = [[(f"{c}{i}", f"{c}{j}", 1.0 + rnd.random()) for i in range(9) for j in range(i) if rnd.random() < 0.4 + 0.6 * (i // 3 == j // 3)] for c in "pqr"]
-    total = 2 * sum(w for p in parts for *_, w in p)
-    every = sorted({n for p in parts for a, b, _ in p for n in (a, b)})
-    pairs_ = sorted((min(a, b), max(a, b), w) for p in parts for a, b, w in p)
-    whole = dict(zip(every, graph.communities_of(every, pairs_, total)))
-    split = {}
-    for p in parts:
-        names = sorted({n for a, b, _ in p for n in (a, b)})
-        for n, c in zip(names, graph.communities_of(names, sorted((min(a, b), max(a, b), w) for a, b, w in p), total)):
-            split[n] = (n[0], c)
-    group = lambda d: sorted(sorted(n for n in d if d[n] == v) for v in set(d.values()))
-    assert group(whole) == group(split)
 
+def test_one_note_is_linked_with_the_titles_given_or_all(spark):
+    notes = vault.create(frame(spark, {}), spark.createDataFrame([("a.md", "see beta and gamma"), ("beta.md", ""), ("gamma.md", "")], "path string, content string")).withColumn("title", F.col("basename"))
+    titles = spark.createDataFrame([("beta",)], "title string")
+    assert mentions.autolink_note(notes, "a.md", titles).first().content == "see [[beta]] and gamma"
+    assert mentions.autolink_note(notes, "a.md").first().content == "see [[beta]] and [[gamma]]"
+    assert mentions.autolink_note(notes, "none.md", titles).collect() == []
 
-def test_colours_are_strings(spark):
-    assert json.dumps(one(spark, text.community_colour(F.lit(0)))) == '"hsl(212.0, 66%, 70%)"'
+
+def test_strings_of_a_variant_list(spark):
+    of = lambda j: one(spark, vault.listed_strings(F.parse_json(F.lit(j))))
+    assert of('["a", 1, null, "b", ["c"]]') == ["a", "b"] and of('"a"') == [] and of("{}") == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mentions_equal_brute_force(spark, seed):
+    import random
+    import re
+
+    rnd = random.Random(seed)
+    words = ["net", "network", "a", "of net", "c++", "über", "x-y", "the net of", "\u00e9t", "[b]", "b]", "9"]
+    join = [" ", "  ", ", ", "", "-", "[", "]", "\n", "_"]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice(join) for _ in range(rnd.randint(0, n)))
+    bodies = {f"{i}.md": rnd.choice([text, lambda n: text(n).upper()])(12) for i in range(40)}
+    titles = sorted({text(3) for _ in range(150)} | set(words))
+    rows = spark.createDataFrame(list(bodies.items()) + [("null.md", None)], "path string, content string")
+    asked = spark.createDataFrame([(t,) for t in titles], "title string")
+    starts = {mentions.INDEX_PIECE: (r"(?<![a-z0-9])(?=[a-z0-9])", str), mentions.LINK_PIECE: (r"(?<![a-z0-9_\[])(?=.)", str.lower)}
+    for piece, (start, low) in starts.items():
+        want = {(t, p) for t in titles for p, c in bodies.items() if len(t) >= 2 and re.search(f"(?s){start}{re.escape(low(t))}", c.lower())}
+        assert {tuple(r) for r in mentions.mentions(rows, asked, piece).collect()} == want and len(want) > 100
+    assert mentions.mentions(rows, asked.limit(0)).collect() == [] and mentions.mentions(rows.limit(0), asked).collect() == []
+
+
+def test_no_task_holds_titles_and_none_of_them_is_python(spark):
+    rows = frame(spark, {"a.md": "the net of x", "b.md": "networks"}).withColumn("title", F.lit("net"))
+    plan = mentions.mentions(rows, spark.createDataFrame([("net",), ("the net",)], "title string"))._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_postings_are_read_by_bucket(spark):
+    notes = frame(spark, {f"{i}.md": " ".join(f"word{chr(97 + (i * k) % 26)}{chr(97 + k)}" for k in range(12)) for i in range(40)}).withColumn("title", F.col("basename"))
+    i = index.build(notes, lang="en")
+    p = index.postings(i, 16)
+    stems = ["wordaa", "worddb", "wordgc"]
+    rows = {k: search.bm25_of_postings(p, stems[:k]) for k in (1, 3)}
+    expected = search.bm25(i, " ".join(stems)).collect()
+    assert [(r.path, round(r.score, 9)) for r in rows[3].collect()] == [(r.path, round(r.score, 9)) for r in expected] and expected
+    read = {}
+    for k, found in rows.items():
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+        read[k] = len(found.inputFiles()) if k == 0 else p.rows.filter(F.col("bucket").isin([r.b for r in spark.createDataFrame([(s,) for s in stems[:k]], "stem string").select(index.stem_bucket(F.col("stem"), 16).alias("b")).collect()])).select(F.input_file_name()).distinct().count()
+    assert read[1] < read[3] < len(p.rows.inputFiles())
+    assert search.bm25_of_postings(p, []).collect() == []
+
+
+def test_an_index_is_built_once_for_callers_at_the_same_time(spark):
+    import threading
+
+    from vellum.storage import once
+
+    made, got = [], []
+
+    def make():
+        made.append(1)
+        return object()
+
+    threads = [threading.Thread(target=lambda: got.append(once(spark, ("test", "key"), make))) for _ in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(made) == 1 and len({id(x) for x in got}) == 1
+    for k in range(40):
+        once(spark, ("test", k), make)
+    assert len(made) == 41 and once(spark, ("test", "key"), make) is not got[0]

@@ -31,3 +31,47 @@ def test_a_widget_stands_before_its_quote_or_table(spark):
     at = lambda n: spark.range(1).select(diffs.widget_line(F.lit(text), F.lit(n)).alias("x")).first().x
     assert [at(0), at(1), at(2), at(3), at(4), at(9)] == [0, 1, 1, 3, 4, 5]
     assert vault.folders_of(" a, ,b/c ,") == ["a", "b/c"]
+
+
+def reviewed(spark, *rows):
+    columns = "path string, action string, before string, after string, doc string, hunk string"
+    return [(r.before, r.after, r.doc, r.kind, r.open) for r in diffs.review(spark.createDataFrame(list(rows), columns)).collect()]
+
+
+def test_the_readers_own_edits_keep_nothing_open(spark):
+    got = reviewed(spark, ("p", "accept", "a", "a\nb", "r\na\nb", None), ("p", "reject", "a", "a\nb", "r\na\nb", None))
+    assert got == [("a\nb", "a\nb", "r\na\nb", "modify", False), ("a", "a", "r\na", "modify", False)]
+
+
+def test_one_hunk_at_a_time_and_a_new_note(spark):
+    before, after = "a\nb\nc\nd", "A\nb\nc\nD"
+    first = '[["a"], ["A"]]'
+    got = reviewed(spark, ("p", "accept", before, after, after + "\nmine", first), ("p", "reject", before, after, "x\n" + after, first), ("p", "reject", "", "new", "new", None))
+    assert got[0] == ("A\nb\nc\nd", after, after + "\nmine", "modify", True)
+    assert got[1] == (before, after, "x\n" + after, "modify", True)  # the reader's line grew the block, so it is not pending
+    assert got[2] == ("", "", "", "create", False)
+
+
+def test_equal_hunks_are_taken_back_once_each():
+    before, after = "x\n1\nx\n2\nx", "y\n1\ny\n2\nx"
+    found = diffs.hunks(before, after)
+    assert diffs.less(before, after, found[:1]) == "x\n1\ny\n2\nx" and diffs.less(before, after, found) == before
+
+
+def test_any_other_action_raises():
+    import pytest
+
+    with pytest.raises(ValueError):
+        diffs.reviewed("settle", "", "", "", None)
+
+
+def test_keys_lines_and_decorations_of_hunks(spark):
+    rows = spark.createDataFrame([("k", "a\n> q\n> r\nb\nc", "A\n> q\n> R\nb")], "path string, before string, after string")
+    hunked = diffs.hunk_ranges(rows)
+    assert hunked.select(diffs.hunk_lines(F.col("hunks")).alias("n")).first().n == 5
+    keys = hunked.select(F.explode("hunks").alias("h")).select(diffs.hunk_key(F.lit("k"), F.col("h")).alias("x")).collect()
+    assert [r.x for r in keys] == ["k|0|1|0|1", "k|2|3|2|3", "k|4|5|4|4"]
+    got = sorted((r["kind"], r["line"], r["at_end"]) for r in diffs.decorations(hunked, "path", "after").collect())
+    assert got == [("block", 0, False), ("block", 1, False), ("block", 4, True), ("line", 0, False)]
+    panel = diffs.changes_panel(diffs.diff_lines(rows.withColumn("kind", F.lit("rename"))), "path", 3).first()
+    assert (panel.letter, panel.added, panel.removed, panel.total, len(panel.shown)) == ("R", 2, 3, 7, 3)

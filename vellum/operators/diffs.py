@@ -94,21 +94,31 @@ def rejection(after: str, h: dict) -> tuple[int, int, str]:
     return head, len(after) - tail, back[head : len(back) - tail]
 
 
-def content(h: dict) -> str:
-    """What a hunk takes and gives, as one value."""
-    return json.dumps([list(h["removed"]), list(h["added"])])
+def changed(h: dict) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What a hunk takes and gives, by which hunks of different texts are told to be the same change."""
+    return tuple(h["removed"]), tuple(h["added"])
 
 
 def pending(before: str, after: str, doc: str) -> list[dict]:
-    """The hunks of the document that are, line for line, hunks of the change from before to after."""
-    made = set(map(content, hunks(before, after)))
-    return list(filter(lambda h: content(h) in made, hunks(before, doc)))
+    """The hunks of the document that are, line for line, hunks of the change from before to after: a semi-join by content."""
+    made = {changed(h) for h in hunks(before, after)}
+    return [h for h in hunks(before, doc) if changed(h) in made]
+
+
+def less(before: str, after: str, chosen: list[dict]) -> str:
+    """after with hunks of equal content taken back, the first for the first, each once."""
+    left = [changed(h) for h in chosen]
+    alike = []
+    for h in hunks(before, after):
+        if changed(h) in left:
+            left.remove(changed(h))
+            alike.append(h)
+    return reverted(after, alike)
 
 
 def without(before: str, after: str, h: dict) -> str:
     """after with the first hunk of equal content taken back."""
-    alike = [m for m in hunks(before, after) if content(m) == content(h)]
-    return reverted(after, alike[:1])
+    return less(before, after, [h])
 
 
 def over(rows: DataFrame, function, kind: str, name: str, *columns: str) -> DataFrame:
@@ -207,27 +217,38 @@ def changes_panel(diffed: DataFrame, key: str, most: int = 400) -> DataFrame:
     return diffed.select(key, letter.alias("letter"), t["added"].alias("added"), t["removed"].alias("removed"), F.size("lines").alias("total"), F.slice("lines", 1, most).alias("shown"))
 
 
+REVIEWED = "path string, action string, before string, after string, doc string, kind string, open boolean"
+
+
+def reviewed(action: str, before: str, after: str, doc: str, hunk: str | None) -> dict:
+    """The baseline, the written version and the document after an action; open: whether the two versions still differ."""
+    chosen = [h for h in pending(before, after, doc) if not hunk or json.dumps(list(map(list, changed(h)))) == hunk]
+    if action == "accept":
+        before = spliced(before, [(h["before_start"], h["before_end"], list(h["added"])) for h in chosen])
+    elif action == "reject":
+        after, doc = less(before, after, chosen), reverted(doc, chosen)
+    else:
+        raise ValueError(f"neither accept nor reject: {action}")
+    return {"before": before, "after": after, "doc": doc, "kind": "modify" if before else "create", "open": before != after}
+
+
 def review(rows: DataFrame) -> DataFrame:
-    """(path, action, before, after, doc) after the action of each row: accept, reject or settle of all that is pending.
+    """(path, action, before, after, doc, kind, open) of rows (path, action, before, after, doc, hunk) after their actions.
 
-    accept takes doc as the new baseline; reject puts all pending hunks back into doc; settle takes a
-    hunk of `hunk` content only, given as JSON of [removed, added], or all where it is null.
+    accept takes what is pending into the baseline, and the document stays; reject takes it out of the
+    written version and puts it back in the document. hunk, JSON of [removed, added], limits the action to
+    hunks of that content. A row is open while the baseline and the written version differ; the reader's
+    own edits are in the document only and keep nothing open. Any other action raises.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["action", "before", "after", "doc", "hunk"]
         for b in batches:
-            out = []
-            for r in b.fillna("").to_dict("records"):
-                before, doc = r["before"], r["doc"]
-                chosen = [h for h in pending(before, r["after"], doc) if not r["hunk"] or content(h) == r["hunk"]]
-                if r["action"] == "accept":
-                    before = spliced(before, [(h["before_start"], h["before_end"], list(h["added"])) for h in chosen])
-                elif r["action"] == "reject":
-                    doc = reverted(doc, chosen)
-                out.append({"path": r["path"], "action": r["action"], "before": before, "after": doc, "open": before != doc})
-            yield pd.DataFrame(out, columns=["path", "action", "before", "after", "open"])
+            b = b.fillna("")
+            out = pd.DataFrame([reviewed(*r) for r in b[names].itertuples(index=False, name=None)], columns=["before", "after", "doc", "kind", "open"])
+            yield pd.concat([b[["path", "action"]].reset_index(drop=True), out], axis=1)
 
-    return rows.select("path", "action", "before", "after", "doc", "hunk").mapInPandas(run, "path string, action string, before string, after string, open boolean")
+    return rows.select("path", "action", "before", "after", "doc", "hunk").mapInPandas(run, REVIEWED)
 
 
 def undo(changes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,3 +286,18 @@ def widget_line(text: Column, line: Column) -> Column:
     gap = F.array_position(F.transform(before, lambda r: r.rlike(RUN).cast("string")), F.lit("false"))
     inside = F.get(rows, at).rlike(RUN)
     return F.when(F.coalesce(inside, F.lit(False)), at - F.when(gap > 0, gap - 1).otherwise(F.size(before))).otherwise(at).cast("int")
+
+
+def decorations(hunked: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, line, at_end): for each hunk of `hunks` a block row at its widget's line, and a line row for each line of `text` that it added.
+
+    A hunk behind the last line has its block at the end. A block that moved up to the start of a quote or
+    table has no line rows, as the run is drawn as one.
+    """
+    h = hunked.select(key, F.col(text).alias("_text"), F.explode("hunks").alias("h"))
+    size = F.size(F.split("_text", "\n"))
+    placed = h.withColumns({"line": widget_line(F.col("_text"), F.col("h.after_start")), "at_end": F.col("h.after_start") >= size, "last": F.least(F.col("h.after_end"), size)})
+    hoisted = ~F.col("at_end") & F.coalesce(F.get(F.split("_text", "\n"), F.col("h.after_start")).rlike(RUN), F.lit(False))
+    blocks = placed.select(key, F.lit("block").alias("kind"), "line", "at_end")
+    tinted = placed.filter(~hoisted & (F.col("last") > F.col("h.after_start"))).select(key, F.explode(F.sequence(F.col("h.after_start"), F.col("last") - 1)).alias("line"))
+    return blocks.unionByName(tinted.select(key, F.lit("line").alias("kind"), "line", F.lit(False).alias("at_end")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import BARS
 from vellum.functions.text import clean, counted, in_folders, language_hits, stem, tokens
-from vellum.storage import kept
+from vellum.storage import kept, once, shared_folder
 
 
 @dataclass(frozen=True)
@@ -81,20 +82,49 @@ def build(notes: DataFrame, exclude: list[str] = (), lang: str | None = None) ->
     return NoteIndex(notes, counts, top, kept(discriminating(notes, counts), "disc"), lang)
 
 
-_shared: dict[tuple, NoteIndex] = {}
+def version(notes: DataFrame, *columns: str) -> tuple:
+    """What tells one state of a table from another: its number of rows and the sum of the hashes of some of its columns."""
+    state = notes.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).first()
+    return state["n"], state["h"]
 
 
 def shared(key: str, notes: DataFrame, exclude: list[str] = (), lang: str | None = None) -> NoteIndex:
     """The index of the notes that `key` names, one for an application, a version of the notes and the settings.
 
-    The first caller builds its tables, later ones read them; the version is the notes' number and newest
-    mtimes, so changed notes give a new one.
+    The first caller builds its tables, later ones read them, callers at the same time wait; the version is
+    told by paths and mtimes, so a note whose text changed under its old mtime is not seen, as in refresh().
     """
-    state = notes.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "mtime").cast("decimal(38,0)")).alias("h")).first()
-    name = (notes.sparkSession.sparkContext.applicationId, key, state["n"], state["h"], tuple(exclude), lang)
-    if name not in _shared:
-        _shared[name] = build(notes, exclude, lang)
-    return _shared[name]
+    return once(notes.sparkSession, ("index", key, *version(notes, "path", "mtime"), tuple(exclude), lang), lambda: build(notes, exclude, lang))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """rows (bucket, stem, path, n, len) in folders by bucket, a bucket being a hash of the stem; notes and mean length of the index."""
+
+    rows: DataFrame
+    buckets: int
+    notes: int
+    mean: float
+
+
+def postings(index: NoteIndex, buckets: int = 64, spread_over: int = 4) -> Postings:
+    """The counts by stem, with the length of each note: a search reads the buckets of its stems and nothing else.
+
+    Inside a bucket rows are sorted by stem, so that row groups are skipped too. A bucket is written by
+    several tasks, so that a stem of most notes is not in one.
+    """
+    sizes = kept(lengths(index.notes, index.counts), "lengths")
+    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    rows = index.counts.join(sizes, "path").withColumn("bucket", stem_bucket(F.col("stem"), buckets))
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(spread_over))).sortWithinPartitions("bucket", "stem")
+    path = f"{shared_folder(index.notes.sparkSession)}/tables/postings-{uuid.uuid4().hex}"
+    rows.select("bucket", "stem", "path", "n", "len").write.partitionBy("bucket").parquet(path)
+    read = index.notes.sparkSession.read.schema("stem string, path string, n long, len long, bucket int").parquet(path)
+    return Postings(read, buckets, whole["n"], whole["mean"] or 0.0)
+
+
+def stem_bucket(of: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(buckets)).cast("int")
 
 
 def top_set(index: NoteIndex, path: str) -> DataFrame:

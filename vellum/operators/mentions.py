@@ -6,14 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a mention may start: at a letter or digit that follows none, for the index; after no word character or bracket, for links.
-INDEX_START = r"(?<![a-z0-9])(?=[a-z0-9])"
-LINK_START = r"(?<![A-Za-z0-9_\[])(?=.)"
-#: Most titles that are broadcast as a filter.
-FILTERED = 100_000
+from vellum.functions.markdown import CLOSED, spans_of
+from vellum.storage import kept, sized
+
+#: A text in pieces, one from each place where a mention may start to the next: for the index, at a letter or digit
+#: that follows none; for links, after no word character or bracket.
+INDEX_PIECE = r"[a-z0-9]+[^a-z0-9]*"
+LINK_PIECE = r"(?s)[a-z0-9_\[]*[^a-z0-9_\[]|[a-z0-9_\[]+$"
 
 
 def grep(notes: DataFrame, queries: list[str]) -> DataFrame:
@@ -34,27 +36,45 @@ def unique_titles(notes: DataFrame) -> DataFrame:
     return notes.groupBy("title").agg(F.count("*").alias("n")).filter("n = 1").select("title")
 
 
-def mentions(notes: DataFrame, titles: DataFrame, start: str = INDEX_START) -> DataFrame:
-    """(title, path): notes whose lower-case body holds a title from a start on; titles of two characters or more.
+def cut(text: Column, piece: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(piece), F.lit(0))
+
 
-    Only as many lengths as the titles have are cut from each start, and these grams meet the titles by
-    equality; no note is held against every title. Up to FILTERED titles they are broadcast, to
-    leave out most grams before the shuffle; beyond that all grams are shuffled.
+def keyed_titles(titles: DataFrame, piece: str) -> DataFrame:
+    """(title, low, pieces, key, size): titles of two characters or more by what their mentions start with.
+
+    A title of several pieces starts with its whole first piece; one of a single piece may go on in the
+    text, so only its first two characters are sure. A title that starts where no mention can is left out.
     """
-    keyed = titles.filter(F.length("title") >= 2).select("title", F.lower("title").alias("low") if start == LINK_START else F.col("title").alias("low")).distinct()
-    sizes = sorted(r["n"] for r in keyed.select(F.length("low").alias("n")).distinct().collect())
-    begins = re.compile(start, re.S)
-    few = keyed.select("low").distinct().limit(FILTERED + 1).collect()
-    known = notes.sparkSession.sparkContext.broadcast(frozenset(r["low"] for r in few) if len(few) <= FILTERED else None)
+    low = F.lower("title") if piece == LINK_PIECE else F.col("title")
+    rows = titles.filter(F.length("title") >= 2).select("title", low.alias("low")).distinct().withColumn("p", cut(F.col("low"), piece))
+    rows = rows.filter((F.size("p") > 0) & F.startswith(F.col("low"), F.get("p", F.lit(0))))
+    pieces = F.size("p")
+    key = F.when(pieces > 1, F.get("p", F.lit(0))).otherwise(F.left("low", F.lit(2)))
+    return rows.select("title", "low", pieces.alias("pieces"), key.alias("key"), F.length("low").alias("size"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = known.value
-        for b in batches:
-            found = {(p, t[m.start() : m.start() + n]) for p, t in zip(b["path"], b["low"], strict=True) for m in begins.finditer(t) for n in sizes if m.start() + n <= len(t) and (wanted is None or t[m.start() : m.start() + n] in wanted)}
-            yield pd.DataFrame(list(found), columns=["path", "low"])
 
-    grams = notes.select("path", F.lower(F.coalesce("content", F.lit(""))).alias("low")).mapInPandas(run, "path string, low string")
-    return grams.join(keyed, "low").select("title", "path").distinct()
+def mentions(notes: DataFrame, titles: DataFrame, piece: str = INDEX_PIECE) -> DataFrame:
+    """(title, path): notes whose lower-case body holds a title from a start on; titles of two characters or more.
+
+    A start's key, its piece or the first two characters of it, is looked up for the lengths of the titles
+    with that key; only these lengths are cut from the text, and what is cut meets the titles by
+    equality. The lookup has a row for each key and is broadcast if it is small, else it is shuffled; the
+    titles are not. No start is held against each title of its key.
+    """
+    keyed = kept(keyed_titles(titles, piece), "titles")
+    most = keyed.agg(F.max("pieces").alias("m"), F.max("size").alias("s")).first()
+    if most["m"] is None:
+        return notes.select(F.lit("").alias("title"), "path").limit(0)
+    bodies = kept(notes.select("path", cut(F.lower(F.coalesce("content", F.lit(""))), piece).alias("p")).filter(F.size("p") > 0), "pieces")
+    sizes = lambda of: sized(kept(keyed.filter(of).groupBy("key").agg(F.collect_set("size").alias("sizes")), "title-sizes"))
+    every = F.sequence(F.lit(1), F.size("p"))
+    ahead = F.transform(every, lambda i: F.struct(F.get("p", i - 1).alias("key"), F.left(F.array_join(F.slice("p", i, F.lit(most["m"])), ""), F.lit(most["s"])).alias("text")))
+    several = bodies.select("path", F.explode(ahead).alias("s")).select("path", "s.key", "s.text").join(sizes("pieces > 1"), "key")
+    single = bodies.select("path", F.explode(F.array_distinct("p")).alias("text")).withColumn("key", F.left("text", F.lit(2))).join(sizes("pieces = 1"), "key")
+    one = several.unionByName(single.select("key", "path", "text", "sizes"))
+    grams = one.select("path", "text", F.explode("sizes").alias("size")).filter(F.length("text") >= F.col("size")).select("path", F.left("text", F.col("size")).alias("low")).distinct()
+    return grams.join(keyed.select("title", "low"), "low").select("title", "path").distinct()
 
 
 def mention_index(notes: DataFrame, titles: DataFrame) -> DataFrame:
@@ -62,18 +82,13 @@ def mention_index(notes: DataFrame, titles: DataFrame) -> DataFrame:
     return mentions(notes, titles).groupBy("title").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
-#: What a link must not be put into: front matter, fences, headings, links, embeds, math, code.
-MASKS = [re.compile(p, f) for p, f in ((r"\A---\r?\n.*?\r?\n---[ \t]*\r?\n?", re.S), (r"^(```|~~~)[^\n]*\n.*?(?:^\1[ \t]*$|\Z)", re.S | re.M), (r"^#{1,6}[ \t][^\n]*", re.M), (r"!?\[\[[^\]]*\]\]", 0), (r"!?\[[^\]\n]*\]\([^)\n]*\)", 0), (r"\$\$.*?\$\$", re.S), (r"`[^`\n]+`", 0), (r"\$[^$\n]+\$", 0))]
-WIKILINK = re.compile(r"(?<!!)\[\[([^\]|#]*)(?:#[^\]|]*)?(?:\|([^\]]*))?\]\]")
-
-
 def linked_body(body: str, own: str, titles: list[str]) -> tuple[str, list[str]]:
     """The body with the first free mention of each title as a link, longest titles first, and the titles linked."""
-    known = {own.lower()}
-    for m in WIKILINK.finditer(body):
-        target = m[1].strip()
-        known |= {target.lower(), re.sub(r"\.md$", "", target.split("/")[-1]).lower(), (m[2] or target).lower()}
-    taken = [m.span() for rule in MASKS for m in rule.finditer(body)]
+    known, found = {own.lower()}, spans_of(body)
+    for s in (s for s in found if s["kind"] == "link"):
+        target = s["target"]
+        known |= {target.lower(), re.sub(r"\.md$", "", target.split("/")[-1]).lower(), (s["shown"] or target).lower()}
+    taken = [(s["lo"], s["hi"]) for s in found if s["kind"] in CLOSED]
     added = []
     for title in sorted(titles, key=lambda t: (-len(t), t)):
         if len(title) < 2 or title.lower() in known:
@@ -96,7 +111,7 @@ def autolink(notes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
     Each note is rewritten with the titles that it mentions only, so no task holds all titles.
     """
-    mentioned = mentions(notes, unique_titles(notes) if titles is None else titles, LINK_START)
+    mentioned = mentions(notes, unique_titles(notes) if titles is None else titles, LINK_PIECE)
     per_note = mentioned.groupBy(F.col("path").alias("_p")).agg(F.sort_array(F.collect_set("title")).alias("titles"))
     joined = notes.join(per_note, notes["path"] == per_note["_p"], "left").select("path", "title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
 
@@ -108,8 +123,9 @@ def autolink(notes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return joined.mapInPandas(run, "path string, content string, added array<string>")
 
 
-def autolink_note(notes: DataFrame, path: str, titles: DataFrame) -> DataFrame:
-    """autolink() of one note with the titles given; no row where there is no such note."""
+def autolink_note(notes: DataFrame, path: str, titles: DataFrame | None = None) -> DataFrame:
+    """autolink() of one note with the titles given, else the unique titles of all notes; no row where there is no such note."""
+    titles = unique_titles(notes) if titles is None else titles
     return autolink(notes.filter(F.col("path") == path), titles)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import BARS
 from vellum.operators.index import NoteIndex
-from vellum.storage import kept
+from vellum.storage import kept, sized
 
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -56,15 +56,6 @@ def scored_pairs(index: NoteIndex, tau: float = BARS.orphan) -> DataFrame:
     return named.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "score")
 
 
-#: Bytes of a written table up to which it is broadcast.
-SMALL = 64 << 20
-
-
-def sized(table: DataFrame) -> DataFrame:
-    """The table, to be broadcast if the planner's estimate of it is small; else the join shuffles."""
-    return F.broadcast(table) if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL else table
-
-
 def stem_sets(index: NoteIndex) -> DataFrame:
     """(path, stems array<long>): hashes of the telling stems of each note."""
     return index.disc.groupBy("path").agg(F.collect_list(F.xxhash64("stem")).alias("stems"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import BARS
 from vellum.functions.text import FRONTMATTER, TOKEN, clean, counted, stem, tokens
-from vellum.operators.index import NoteIndex, lengths
+from vellum.operators.index import NoteIndex, Postings, lengths, stem_bucket
 
 #: Width of a snippet and its run-up before the first match.
 WIDTH, LEAD = 170, 50
@@ -54,6 +54,22 @@ def bm25(index: NoteIndex, query: str, limit: int = 50, scope: str = "") -> Data
     return leg(rows.groupBy("path").agg(F.sum(idf * F.col("n") * (BARS.k1 + 1) / norm).alias("score")), limit, scope)
 
 
+def bm25_of_postings(postings: Postings, query_stems: list[str], limit: int = 50, scope: str = "") -> DataFrame:
+    """bm25() over written postings: the scan is cut to the buckets of the query's stems, and in these to the stems."""
+    spark = postings.rows.sparkSession
+    asked = sorted(set(query_stems))
+    if not asked:
+        return postings.rows.select("path", F.lit(0.0).alias("score")).limit(0)
+    of = spark.createDataFrame([(s,) for s in asked], "stem string").select(stem_bucket(F.col("stem"), postings.buckets).alias("b"))
+    buckets = sorted({r["b"] for r in of.collect()})  # as many as the query has stems
+    hits = postings.rows.filter(F.col("bucket").isin(buckets) & F.col("stem").isin(asked))
+    df = hits.groupBy("stem").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(postings.notes) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("n") + BARS.k1 * (1 - BARS.b + BARS.b * F.col("len") / F.lit(postings.mean if postings.mean > 0 else 1.0))
+    rows = hits.join(F.broadcast(df), "stem")  # as many rows as the query has stems
+    return leg(rows.groupBy("path").agg(F.sum(idf * F.col("n") * (BARS.k1 + 1) / norm).alias("score")), limit, scope)
+
+
 def title_hits(notes: DataFrame, query: str, limit: int = 50, scope: str = "") -> DataFrame:
     """(path, score): titles that hold the query, by the share that it covers."""
     q = query.strip().lower()

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import STOPWORDS, clean, community_colour
+from vellum.functions.text import STOPWORDS, basename, clean, community_colour, parent
 from vellum.operators import diffs, graph, index, mentions, pairs, ranks, search, signals
 from vellum.sources import notes as vault
-from vellum.streaming import folds
+from vellum.storage import once, shared_folder
+from vellum.streaming import changes, folds, frames, index_log
 
 #: The note, the excluded folder and the searches that the queries ask about.
 NOTE, EXCLUDED, EXCLUDED_NOTE = "src3/doc-000003.md", "src0", "src0/doc-000020.md"
 QUERY, TITLE_QUERY, SCOPE = "the thing with ontion therat linking", "the", "src1/"
 GREP = ["the and", "LA DE"]
+#: The line that a reader adds to each document under review.
+READER = "a reader's own line"
 
 
 def notes_of(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +39,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def pairs_of_texts(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, before, after, doc, kind): each document against the one before it of its source, cut to paragraphs.
+    """(doc_id, before, after, doc, kind): each document with the first line of the one before it of its source; doc has a line of the reader's besides.
 
     Only ids are ordered; the texts meet by doc_id, which names a document.
     """
@@ -46,7 +50,7 @@ def pairs_of_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.join(ids, "doc_id").join(earlier, "prior", "left").withColumn("other", F.coalesce("other", F.lit("")))
     lines = F.split("before", "\n")
     edited = F.concat_ws("\n", F.element_at(F.split("other", "\n"), 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 1), "\n"))
-    return rows.select("doc_id", "before", edited.alias("after"), edited.alias("doc"), F.lit("modify").alias("kind"))
+    return rows.select("doc_id", "before", edited.alias("after"), F.concat(edited, F.lit(f"\n{READER}")).alias("doc"), F.lit("modify").alias("kind"))
 
 
 def writes_of(spark: SparkSession, d: str) -> DataFrame:
@@ -67,12 +71,82 @@ def titles_of(spark: SparkSession, d: str) -> DataFrame:
     return mentions.unique_titles(notes_of(spark, d)).filter(F.length("title") >= 2)
 
 
-def communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, index.NoteIndex]:
+def communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, index.NoteIndex]:
+    """(members, edges, index) of the communities of all notes, found once for an application and a version of notes and links."""
     i, links, _ = linked(spark, d)
-    edges = graph.kept(graph.graph_edges(i, links), "edges")
+
+    def find() -> tuple[DataFrame, DataFrame]:
+        edges = graph.kept(graph.graph_edges(i, links), "edges")
+        return graph.kept(graph.louvain(edges, i.notes.select("path")), "communities"), edges
+
+    key = ("communities", d, *index.version(i.notes, "path", "mtime"), *index.version(links, "src", "dst", "n"))
+    return *once(spark, key, find), i
+
+
+def drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The layout of the notes with most edges."""
+    _, edges, _ = communities(spark, d)
     nodes = graph.kept(graph.graph_nodes(edges), "nodes")
-    edges = graph.truncated(edges, nodes)
-    return graph.kept(graph.louvain(edges, nodes), "communities"), edges, nodes, i
+    return graph.layout(graph.truncated(edges, nodes), nodes)
+
+
+def posted(spark: SparkSession, d: str) -> DataFrame:
+    i = built(spark, d)
+    p = once(spark, ("postings", d, *index.version(i.notes, "path", "mtime")), lambda: index.postings(i))
+    return search.bm25_of_postings(p, [r["stem"] for r in search.terms(i, QUERY).collect()])
+
+
+def linking_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with their links written out at the end of the body, in four forms in turn, and each once more in code."""
+    notes, links = notes_of(spark, d), vault.line_links(spark, d)
+    turn = F.row_number().over(Window.partitionBy("src").orderBy("dst")) % 4
+    name, path = basename(F.col("dst")), F.regexp_replace("dst", r"\.md$", "")
+    say = F.when(F.col("turn") == 0, F.concat(F.lit("[["), name, F.lit("]]"))).when(F.col("turn") == 1, F.concat(F.lit("[["), path, F.lit("|see it]]")))
+    say = say.when(F.col("turn") == 2, F.concat(F.lit("![["), name, F.lit("#part]]"))).otherwise(F.concat(F.lit("[go]("), path, F.lit(".md#part)")))
+    line = F.concat(F.lit("see "), say, F.lit(" not `[["), name, F.lit("]]`"))
+    lines = links.withColumn("turn", turn).select("src", F.struct("dst", line.alias("line")).alias("s")).groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    body = F.concat_ws("\n", "content", F.array_join(F.col("s.line"), "\n"))
+    return notes.join(lines, "path", "left").withColumn("content", F.when(F.col("s").isNull(), F.col("content")).otherwise(body)).drop("s")
+
+
+def moves_of(notes: DataFrame) -> DataFrame:
+    to = F.concat(F.lit("moved/"), F.regexp_replace("path", "/doc-", "/new-"))
+    return notes.filter("mtime % 10 = 4").select("path", to.alias("to"))
+
+
+def with_front_matter(notes: DataFrame) -> DataFrame:
+    """Notes that start with front matter: a text, a number, a truth value and a list."""
+    top = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nnumber: "), F.col("mtime").cast("string"), F.lit("\ndraft: true\ntags:\n  - note\n  - "), parent(F.col("path")), F.lit("\n---\n"), "content")
+    return notes.withColumn("content", top)
+
+
+def maintained(spark: SparkSession, d: str) -> DataFrame:
+    """The stems of an index that got all notes, then emptied, deleted and moved ones, then a base."""
+    notes = notes_of(spark, d)
+    folder = f"{shared_folder(spark)}/tables/index-{uuid.uuid4().hex}"
+    index_log.add_batch(notes, folder, 0)
+    later = (F.col("mtime") + 1_000_000).alias("mtime")
+    gone = notes.filter("mtime % 17 = 0 or mtime % 19 = 1").select("path", later, F.lit(None).cast("string").alias("content"), F.lit(True).alias("gone"))
+    emptied = notes.filter("mtime % 13 = 5 and mtime % 17 <> 0 and mtime % 19 <> 1").select("path", later, F.lit("").alias("content"), F.lit(False).alias("gone"))
+    came = notes.filter("mtime % 19 = 1").select(F.concat(F.lit("moved/"), "path").alias("path"), later, "content", F.lit(False).alias("gone"))
+    index_log.add_batch(gone.unionByName(emptied).unionByName(came), folder, 1)
+    index_log.compact(spark, folder)
+    index_log.add_batch(notes.filter("mtime % 17 = 0").select("path", "mtime", "content"), folder, 2)  # older than the deletion
+    return index_log.current_counts(spark, folder)
+
+
+def connections_of(spark: SparkSession, d: str) -> DataFrame:
+    """(connection, seq, frame): conversations as connections; some are refused, and some say something before they are let in."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    text = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "rpc").when(F.col("turn") % 3 == 1, "chat_event").otherwise("ping").alias("type"), F.col("text").alias("text")))
+    hello = F.when(F.col("conv_id") % 5 == 0, '{"type":"bye"}').otherwise('{"type":"welcome"}')
+    first = rows.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("connection"), F.when(F.col("conv_id") % 3 == 0, 15).otherwise(-5).cast("long").alias("seq"), hello.alias("frame"))
+    return first.unionByName(rows.select(F.col("conv_id").cast("string").alias("connection"), (10 * F.col("turn")).cast("long").alias("seq"), text.alias("frame")))
+
+
+def reviewed(spark: SparkSession, d: str, action: str) -> DataFrame:
+    rows = pairs_of_texts(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.lit(action).alias("action"), "before", "after", "doc", F.lit(None).cast("string").alias("hunk"))
+    return diffs.review(rows).select("path", F.md5("before").alias("baseline"), F.md5("after").alias("written"), F.md5("doc").alias("document"), "open")
 
 
 def edits_of(notes: DataFrame) -> DataFrame:
@@ -106,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["all_edges"] = lambda s, d: rounded(pairs.edges(built(s, d)), "score")
     # search
     q["bm25_search"] = lambda s, d: rounded(search.bm25(built(s, d), QUERY), "score")
+    q["bm25_postings"] = lambda s, d: rounded(posted(s, d), "score")
     q["title_search"] = lambda s, d: rounded(search.title_hits(notes_of(s, d), TITLE_QUERY), "score")
     q["fused_search"] = lambda s, d: rounded(search.search(built(s, d), TITLE_QUERY + " " + QUERY), "score")
     q["scoped_search"] = lambda s, d: rounded(search.search(built(s, d), "ontion thing", 20, SCOPE), "score")
@@ -129,7 +204,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # vault
     q["list_files"] = lambda s, d: vault.request(notes_of(s, d), "list_files", folder="src1")
     q["read_note"] = lambda s, d: vault.request(notes_of(s, d), "read", path="/" + NOTE)
-    q["outline"] = lambda s, d: vault.outline(notes_of(s, d).withColumn("content", F.regexp_replace("content", r"(?m)^([A-Z]\S+ )", "## $1")))
+    q["outline"] = lambda s, d: vault.outline(notes_of(s, d).withColumn("content", F.regexp_replace("content", r"(?m)^([A-Z]\S+ )", "## $1"))).select("path", "line", "level", "heading")
+    q["text_links"] = lambda s, d: vault.request(linking_notes(s, d), "resolved_links")
+    q["vault_move_texts"] = lambda s, d: vault.request(linking_notes(s, d), "move", moves=moves_of(notes_of(s, d))).select("path", F.md5("content").alias("digest"))
+    q["note_properties"] = lambda s, d: vault.properties(with_front_matter(notes_of(s, d))).select("path", F.to_json("frontmatter").alias("json"))
+    q["vault_set_property"] = lambda s, d: vault.set_property(with_front_matter(notes_of(s, d)), notes_of(s, d).filter("mtime % 3 = 0").select("path", F.lit("number").alias("name"), F.to_json(F.array(F.col("mtime"), F.col("mtime") + 1)).alias("value"))).select("path", F.md5("content").alias("digest"))
     q["grep_lines"] = lambda s, d: mentions.grep(notes_of(s, d), GREP[:1])
     q["grep_batch"] = lambda s, d: mentions.grep(notes_of(s, d), GREP)
     q["unique_titles"] = lambda s, d: mentions.unique_titles(notes_of(s, d))
@@ -145,20 +224,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["hunk_ranges"] = lambda s, d: diffs.hunk_ranges(pairs_of_texts(s, d)).select("doc_id", F.explode("hunks").alias("h")).select("doc_id", "h.before_start", "h.before_end", "h.after_start", "h.after_end")
     q["grouped_hunks"] = lambda s, d: diffs.grouped_hunks(diffs.diff_lines(pairs_of_texts(s, d)), "doc_id")
     q["revert_hunks"] = lambda s, d: diffs.revert_pending(pairs_of_texts(s, d)).select("doc_id", F.md5("text").alias("digest"))
-    q["change_fold"] = lambda s, d: folds.change_fold(writes_of(s, d)).select("session", "position", "path", "kind", F.md5("before").alias("before"), F.md5("after").alias("after"))
+    q["change_fold"] = lambda s, d: changes.change_fold(writes_of(s, d)).select("session", "position", "path", "kind", F.md5("before").alias("before"), F.md5("after").alias("after"))
     q["changes_panel"] = lambda s, d: diffs.changes_panel(diffs.diff_lines(pairs_of_texts(s, d)), "doc_id").select("doc_id", "letter", "added", "removed", "total", F.size("shown").alias("shown"))
-    q["review_accept"] = lambda s, d: diffs.review(pairs_of_texts(s, d).select(F.col("doc_id").cast("string").alias("path"), F.lit("accept").alias("action"), "before", "after", "doc", F.lit(None).cast("string").alias("hunk"))).select("path", F.md5("before").alias("digest"), "open")
-    q["review_reject"] = lambda s, d: diffs.review(pairs_of_texts(s, d).select(F.col("doc_id").cast("string").alias("path"), F.lit("reject").alias("action"), "before", "after", "doc", F.lit(None).cast("string").alias("hunk"))).select("path", F.md5("after").alias("digest"), "open")
+    q["review_accept"] = lambda s, d: reviewed(s, d, "accept")
+    q["review_reject"] = lambda s, d: reviewed(s, d, "reject")
+    q["hunk_decorations"] = lambda s, d: diffs.decorations(diffs.hunk_ranges(pairs_of_texts(s, d)), "doc_id", "after")
     # graph
     q["graph_edges"] = lambda s, d: rounded(graph.graph_edges(*linked(s, d)[:2]), "w")
     q["graph_nodes"] = lambda s, d: graph.graph_nodes(graph.graph_edges(*linked(s, d)[:2]), 200)
     q["louvain"] = lambda s, d: communities(s, d)[0]
     q["community_sizes"] = lambda s, d: graph.community_sizes(communities(s, d)[0])
-    q["community_labels"] = lambda s, d: (lambda c: graph.community_labels(c[0], c[3]))(communities(s, d))
-    q["graph_layout"] = lambda s, d: (lambda c: graph.layout(c[1], c[2]))(communities(s, d))
+    q["community_labels"] = lambda s, d: (lambda c: graph.community_labels(c[0], c[2]))(communities(s, d))
+    q["community_legend"] = lambda s, d: (lambda c: graph.legend(c[0], graph.community_labels(c[0], c[2])))(communities(s, d))
+    q["graph_layout"] = drawn
     q["community_color"] = lambda s, d: s.range(50).select(F.col("id").alias("community"), community_colour(F.col("id")).alias("dark"), community_colour(F.col("id"), True).alias("paper"))
     # folds
     q["conversation_texts"] = lambda s, d: folds.conversation_texts(s.read.parquet(f"{d}/conversations.parquet"))
+    q["maintained_index"] = maintained
+    q["routed_frames"] = lambda s, d: frames.routed(connections_of(s, d)).select("connection", "seq", "route")
     q["chat_turns"] = lambda s, d: folds.chat_turns(frames_of(s, d)).select("turn", F.md5("text").alias("digest"), "answer", "done")
     q["debounce_events"] = lambda s, d: folds.debounced(s.read.parquet(f"{d}/events.parquet"), "10 minutes")
     return q
@@ -324,6 +407,7 @@ def oracle_sql() -> dict[str, str]:
     o["scored_pairs"] = BASE + PAIRS + " select a, b, round(score, 6) as score from scored"
     o["all_edges"] = BASE + PAIRS + " select a, b, round(score, 6) as score from gated where score >= 0.25 and overlap >= 0.02"
     o["bm25_search"] = BASE + bm25_sql(QUERY, 50) + " select path, round(score, 6) as score from bm"
+    o["bm25_postings"] = o["bm25_search"]
     o["title_search"] = BASE + title_sql(TITLE_QUERY, 50) + " select path, round(score, 6) as score from ti"
     both = TITLE_QUERY + " " + QUERY
     o["fused_search"] = BASE + bm25_sql(both, 100) + title_sql(both, 100) + FUSED + " order by fused.score desc, path limit 50"
@@ -363,9 +447,22 @@ def oracle_sql() -> dict[str, str]:
     o["queue_next"] = "select path, score, reason from (" + o["attention_queue"] + f") where path <> '{NOTE}' order by score desc, path limit 1 offset 3"
     o["top_set"] = BASE + f" select stem from top where path = '{NOTE}'"
     before = ", pr as (select doc_id, coalesce(text, '') as before, coalesce(lag(coalesce(text, '')) over (partition by source order by doc_id), '') as other from documents), ed as (select doc_id, before, concat(string_split(other, chr(10))[1], chr(10), array_to_string(list_slice(string_split(before, chr(10)), 2, len(string_split(before, chr(10)))), chr(10))) as after from pr)"
-    o["review_accept"] = BASE + before + " select cast(doc_id as varchar) as path, md5(after) as digest, false as open from ed"
-    o["review_reject"] = BASE + before + " select cast(doc_id as varchar) as path, md5(before) as digest, false as open from ed"
-    o["revert_hunks"] = BASE + before + " select doc_id, md5(before) as digest from ed"
+    # a changed first line and the reader's line at the end are hunks apart, unless there is but one line, the new
+    # first line is the second one too, or the texts pass the fixed number of cells
+    before += f""", sp as (select *, string_split(before, chr(10)) as b, string_split(after, chr(10)) as a, concat(after, chr(10), '{READER.replace("'", "''")}') as doc from ed
+    ), pe as (select *, len(b) as n, b[1] <> a[1] and len(b) >= 2 and a[1] <> b[2] and len(b) * (len(b) + 1) <= {diffs.MAX_CELLS} as pend, b[1] <> a[1] as other_first from sp)"""
+    o["review_accept"] = BASE + before + " select cast(doc_id as varchar) as path, md5(case when pend then after else before end) as baseline, md5(after) as written, md5(doc) as document, not pend and before <> after as open from pe"
+    undone = f"case when pend then concat(before, chr(10), '{READER.replace(chr(39), chr(39) * 2)}') else doc end"
+    o["review_reject"] = BASE + before + f" select cast(doc_id as varchar) as path, md5(before) as baseline, md5(case when pend then before else after end) as written, md5({undone}) as document, not pend and before <> after as open from pe"
+    o["revert_hunks"] = BASE + before + f" select doc_id, md5({undone}) as digest from pe"
+    # what the change of the first line looks like: an empty text gets two lines, a single line an empty one behind it
+    case = lambda empty, single, single_other, other, none: f"case when before = '' then {empty} when n = 1 and not other_first then {single} when n = 1 then {single_other} when other_first then {other} else {none} end"
+    added, removed, total = case(2, 1, 2, 1, 0), case(0, 0, 1, 1, 0), case(2, 2, 3, "n + 1", "n")
+    o["diff_lines"] = BASE + before + f" select doc_id, cast({added} as integer) as added, cast({removed} as integer) as removed from pe"
+    o["changes_panel"] = BASE + before + f" select doc_id, 'M' as letter, cast({added} as integer) as added, cast({removed} as integer) as removed, cast({total} as integer) as total, cast(least({total}, 400) as integer) as shown from pe"
+    there = " from pe where before = '' or n = 1 or other_first"
+    o["hunk_ranges"] = BASE + before + f" select doc_id, cast({case(0, 1, 0, 0, 0)} as integer) as before_start, cast({case(0, 1, 1, 1, 0)} as integer) as before_end, cast({case(0, 1, 0, 0, 0)} as integer) as after_start, cast({case(2, 2, 2, 1, 0)} as integer) as after_end" + there
+    o["grouped_hunks"] = BASE + before + f" select doc_id, cast(1 as bigint) as span, 0 as lo, cast({case(2, 2, 3, 'least(4, n + 1)', 0)} as integer) as hi" + there
     o["list_files"] = BASE + " select basename as name, path from notes where starts_with(path, 'src1/')"
     o["read_note"] = BASE + f" select path, content, length(content) as size from notes where path = '{NOTE}'"
     lines = ", l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from notes)"
@@ -379,6 +476,18 @@ def oracle_sql() -> dict[str, str]:
     o["vault_overwrite"] = BASE + " select path, md5(case when mtime % 10 = 3 then concat('edited', chr(10)) else content end) as digest from notes"
     o["vault_append"] = BASE + " select path, md5(case when mtime % 10 = 3 then concat(content, 'edited', chr(10)) else content end) as digest from notes"
     o["vault_move"] = BASE + " select case when a.mtime % 10 = 3 then concat('moved/', src) else src end as src, case when b.mtime % 10 = 3 then concat('moved/', dst) else dst end as dst, n from links join notes a on a.path = src join notes b on b.path = dst"
+    name = lambda c: f"regexp_replace(regexp_replace({c}, '^.*/', ''), '\\.md$', '')"
+    bare = lambda c: f"regexp_replace({c}, '\\.md$', '')"
+    written = f"""concat('see ', case turn when 0 then concat('[[', {name("d")}, ']]') when 1 then concat('[[', {bare("d")}, '|see it]]')
+      when 2 then concat('![[', {name("d")}, '#part]]') else concat('[go](', {bare("d")}, '.md#part)') end, ' not `[[', {name("dst")}, ']]`')"""
+    moved = "case when mtime % 10 = 4 then concat('moved/', replace(path, '/doc-', '/new-')) else path end"
+    o["vault_move_texts"] = BASE + f""", t as (select src, dst, row_number() over (partition by src order by dst) % 4 as turn from links), to_ as (select path as dst, {moved} as d from notes),
+      w as (select src, string_agg({written}, chr(10) order by dst) as lines from t join to_ using (dst) group by src)
+      select {moved} as path, md5(case when lines is null then content else concat(content, chr(10), lines) end) as digest from notes left join w on src = path"""
+    o["text_links"] = BASE + " select src, dst as target, cast(1 as bigint) as n, true as found from links"
+    o["note_properties"] = BASE + " select path, concat('{\"draft\":true,\"number\":', mtime, ',\"tags\":[\"note\",\"', regexp_replace(path, '/[^/]*$', ''), '\"],\"title\":', case when title = '' then 'null' else concat('\"', title, '\"') end, '}') as json from notes"
+    top = "concat('---', chr(10), 'title: ', title, chr(10), case when mtime % 3 = 0 then concat('number:', chr(10), '  - ', mtime, chr(10), '  - ', mtime + 1) else concat('number: ', mtime) end, chr(10), 'draft: true', chr(10), 'tags:', chr(10), '  - note', chr(10), '  - ', regexp_replace(path, '/[^/]*$', ''), chr(10), '---', chr(10), content)"
+    o["vault_set_property"] = BASE + f" select path, md5({top}) as digest from notes"
     o["vault_delete"] = BASE + " select path from notes where mtime % 10 <> 3"
     edges = ", e as (select a, b, 1.0 as w, false as inferred from written where a <> b union all select a, b, score, true from gated g where score >= 0.25 and overlap >= 0.02 and not exists (select 1 from written w where w.a = g.a and w.b = g.b))"
     o["graph_edges"] = BASE + PAIRS + edges + " select a, b, round(cast(w as double), 6) as w, inferred from e"
@@ -386,6 +495,9 @@ def oracle_sql() -> dict[str, str]:
     o["community_color"] = """select i as community, printf('hsl(%.1f, 66%%, %d%%)', 212 + (i * 0.6180339887::double % 1) * 94, case when i % 2 = 0 then 70 else 54 end) as dark,
       printf('hsl(%.1f, 66%%, %d%%)', 212 + (i * 0.6180339887::double % 1) * 94, case when i % 2 = 0 then 42 else 30 end) as paper from range(50) t(i)"""
     o["conversation_texts"] = "select conv_id, count(*) as turns, string_agg(coalesce(text, ''), '' order by turn, role, text) as text from conversations group by conv_id"
+    o["maintained_index"] = BASE + " select case when mtime % 19 = 1 then concat('moved/', path) else path end as path, stem, n from counts join notes using (path) where mtime % 19 = 1 or (mtime % 17 <> 0 and mtime % 13 <> 5)"
+    o["routed_frames"] = """select cast(conv_id as varchar) as connection, cast(10 * turn as bigint) as seq, case when turn % 3 = 0 then 'rpc' else 'chat' end as route
+      from conversations where conv_id % 5 <> 0 and turn % 3 < 2 and (conv_id % 3 <> 0 or 10 * turn > 15)"""
     o["chat_turns"] = "select cast(conv_id as varchar) as turn, md5(string_agg(coalesce(text, ''), '' order by turn)) as digest, 'ok' as answer, true as done from conversations group by conv_id"
     o["debounce_events"] = """with g as (select *, case when ts < lag(ts) over w + interval 10 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
       s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as b from g)

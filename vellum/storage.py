@@ -5,9 +5,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
+from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+T = TypeVar("T")
 
 #: Bytes up to which a scan is dealt to all cores.
 SMALL = 4 << 30
@@ -40,6 +48,32 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: OrderedDict[tuple, object] = OrderedDict()
+_locks: dict[tuple, threading.Lock] = {}
+_guard = threading.Lock()
+#: Results that once() remembers.
+REMEMBERED = 16
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What make() gives, made by the first caller of an application and key; others wait for it. The least recent of many is forgotten."""
+    name = (spark.sparkContext.applicationId, *key)
+    with _guard:
+        lock = _locks.setdefault(name, threading.Lock())
+    with lock:
+        if name not in _made:
+            found = make()
+            with _guard:
+                _made[name] = found
+                while len(_made) > REMEMBERED:
+                    _locks.pop(_made.popitem(last=False)[0], None)
+        with _guard:
+            if name in _made:
+                _made.move_to_end(name)
+                return _made[name]
+    return once(spark, key, make)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Removes a table's folder, below the shared folder only."""
     if not path.startswith(f"{shared_folder(spark)}/"):
@@ -56,3 +90,23 @@ def spread(scan: DataFrame) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     small = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
     return scan.repartition(cores) if small and scan.rdd.getNumPartitions() < cores else scan
+
+
+#: Bytes of a table's rows, uncompressed, up to which it is broadcast.
+BROADCAST = 64 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """The bytes of a row as the executors hold it: 8 for each field, and what strings, binaries and arrays take besides."""
+    more = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c), "array<bigint>": lambda c: 8 * F.size(c), "array<int>": lambda c: 8 * F.size(c)}
+    parts = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        if (kind := f.dataType.simpleString()) in more:
+            parts.append(F.coalesce(more[kind](F.col(f"`{f.name}`")), F.lit(0)))
+    return reduce(lambda x, y: x + y, parts).cast("long")
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its rows, measured, are small; else the join shuffles. Give a written table: it is read twice."""
+    size = table.agg(F.sum(width(table)).alias("s")).first()["s"] or 0
+    return F.broadcast(table) if size <= BROADCAST else table

@@ -6,18 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vellum.operators.diffs import pending, reverted
-from vellum.operators.index import stem_counts
-
-#: Fixed value: changed files that are kept, the oldest going first.
-MAX_CHANGED = 200
-#: What ends a turn, with the field it fills and what stands for a missing value; statuses by event.
-ENDS = {"chat_done": ("answer", ""), "chat_error": ("error", "unknown error")}
-STATUS = {"tool_done": "done", "tool_error": "error"}
 TURN = "turn string, text string, tools array<struct<id:string,label:string,status:string,error:string>>, answer string, error string, done boolean"
 
 
@@ -25,94 +17,98 @@ def new_turn() -> dict:
     return {"text": "", "tools": [], "answer": None, "error": None, "done": False}
 
 
-def as_text(value) -> str:
-    """Strings as they are, numbers and booleans spelled out, anything else empty."""
-    if isinstance(value, str):
-        return value
-    return json.dumps(value) if isinstance(value, bool | int | float) else ""
-
-
-def facts(frame: dict) -> Iterator[tuple]:
-    """What a frame tells of its turn: ("text", words), ("tool", id, label), ("status", id, end, error) or ("last", field, value)."""
-    event = frame.get("event") or {}
-    name = (str(frame.get("type")), str(event.get("type")))
-    if name[0] in ENDS:
-        field, other = ENDS[name[0]]
-        value = frame.get(field)
-        yield "last", field, value if isinstance(value, str) else other
-    elif name == ("chat_event", "delta") and event.get("kind") == "text":
-        yield "text", as_text(event.get("text"))
-    elif name == ("chat_event", "tool_start"):
-        yield "tool", str(event.get("id")), str(event.get("name"))
-    elif name == ("chat_event", "batch"):
-        yield "tool", None, f"{event.get('kind')} · {event.get('label')}"
-    elif name[0] == "chat_event" and name[1] in STATUS:
-        yield "status", str(event.get("id")), STATUS[name[1]], as_text(event.get("error")) if name[1] == "tool_error" else None
-
-
-def told(turn: dict, frames: list[dict]) -> dict:
-    """The turn after the frames: texts joined, tools in the order they began, each with its last status, the last end."""
-    known = [f for frame in frames for f in facts(frame)]
-    of = lambda kind: [f[1:] for f in known if f[0] == kind]
+def facts(frame: Column) -> Column:
+    """What a frame tells of its turn, as (fact, key, value, error); null for one that tells nothing, JSON or not.
+
+    fact is text (value: words), tool (key: id, none for a batch; value: label), status (key: id, value: the
+    status, error) or last (key: the field that it fills).
+    """
+    v = F.try_parse_json(frame)
+    at = lambda path: F.try_variant_get(v, f"$.{path}", "string")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
+    whole = lambda path: F.when(kind(path) == "STRING", at(path))
+    spelled = lambda path: F.when(kind(path).rlike("^(STRING|BIGINT|BOOLEAN|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), at(path))
+    fact = lambda name, key, value, error=None: F.struct(F.lit(name).alias("fact"), key.cast("string").alias("key"), value.alias("value"), (F.lit(None) if error is None else error).cast("string").alias("error"))
+    word = lambda path: F.coalesce(spelled(path), F.lit("None"))
+    event = F.when(at("type") == "chat_event", at("event.type"))
+    none = F.lit(None)
+    return (
+        F.when(at("type") == "chat_done", fact("last", F.lit("answer"), F.coalesce(whole("answer"), F.lit(""))))
+        .when(at("type") == "chat_error", fact("last", F.lit("error"), F.coalesce(whole("error"), F.lit("unknown error"))))
+        .when((event == "delta") & (at("event.kind") == "text"), fact("text", none, F.coalesce(spelled("event.text"), F.lit(""))))
+        .when(event == "tool_start", fact("tool", word("event.id"), word("event.name")))
+        .when(event == "batch", fact("tool", none, F.concat(word("event.kind"), F.lit(" · "), word("event.label"))))
+        .when(event == "tool_done", fact("status", word("event.id"), F.lit("done")))
+        .when(event == "tool_error", fact("status", word("event.id"), F.lit("error"), F.coalesce(spelled("event.error"), F.lit(""))))
+    )
+
+
+def with_facts(frames: DataFrame) -> DataFrame:
+    """frames (turn, seq, frame, ...) with the columns fact, key, value and error in place of the frame."""
+    rest = [c for c in frames.columns if c != "frame"]
+    return frames.withColumn("_f", facts(F.col("frame"))).select(*rest, "_f.fact", "_f.key", "_f.value", "_f.error")
+
+
+def told(turn: dict, rows: pd.DataFrame) -> dict:
+    """The turn after the facts: texts joined, tools in the order they began, each with its last status, the last end."""
+    known = list(rows.sort_values("seq", kind="stable")[["fact", "key", "value", "error"]].itertuples(index=False, name=None))
     tools = list(turn["tools"])
     place: dict[str, int] = {}
     for k, t in enumerate(tools):
         place.setdefault(t["id"], k)
-    for kind, key, *rest in (f for f in known if f[0] in ("tool", "status")):
-        if kind == "tool":
+    for fact, key, value, error in known:
+        if fact == "tool":
             key = f"batch:{len(tools)}" if key is None else key
             place.setdefault(key, len(tools))
-            tools.append({"id": key, "label": rest[0], "status": "run", "error": None})
-        elif key in place:  # a status before its tool tells nothing
-            status, error = rest
-            tools[place[key]] = tools[place[key]] | {"status": status} | ({} if error is None else {"error": error})
-    ends = of("last")
-    return turn | {"text": turn["text"] + "".join(t for (t,) in of("text")), "tools": tools, "done": turn["done"] or bool(ends)} | dict(ends)
-
-
-def parsed(frame: str | None) -> dict:
-    try:
-        found = json.loads(frame or "")
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
+            tools.append({"id": key, "label": value, "status": "run", "error": None})
+        elif fact == "status" and key in place:  # a status before its tool tells nothing
+            tools[place[key]] = tools[place[key]] | {"status": value} | ({} if error is None else {"error": error})
+    ends = {key: value for fact, key, value, _ in known if fact == "last"}
+    return turn | {"text": turn["text"] + "".join(value for fact, _, value, _ in known if fact == "text"), "tools": tools, "done": turn["done"] or bool(ends)} | ends
 
 
 def chat_turns(frames: DataFrame) -> DataFrame:
     """One row per turn of frames (turn string, seq long, frame string), folded in order; a turn is one group."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        turn = told(new_turn(), rows.sort_values("seq", kind="stable")["frame"].map(parsed).tolist())
-        return pd.DataFrame([{"turn": rows["turn"].iloc[0], **turn}])
+        return pd.DataFrame([{"turn": rows["turn"].iloc[0], **told(new_turn(), rows)}])
 
-    return frames.groupBy("turn").applyInPandas(fold, TURN)
+    return with_facts(frames).groupBy("turn").applyInPandas(fold, TURN)
 
 
-def chat_turns_stream(frames: DataFrame, expire_ms: int | None = None) -> DataFrame:
+def chat_turns_stream(frames: DataFrame, expire_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
     """The turns of a stream of frames after each batch; a turn's state goes when it is done, or silent for expire_ms.
 
-    With expire_ms the query keeps running batches while it waits, so it never comes to rest by itself.
+    Silence is told by event time where the frames have a column ts: the watermark lags by `late`, frames
+    behind it are dropped, and a turn ends once the watermark is expire_ms past its last frame. Without ts it
+    is told by the clock; the query then keeps running batches while it waits, so it never comes to rest.
     """
+    timed = "ts" in frames.columns
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            turn = json.loads(state.get[0]) | {"error": "timed out", "done": True}
+            turn = json.loads(state.get[0])["turn"] | {"error": "timed out", "done": True}
             state.remove()
             yield pd.DataFrame([{"turn": key[0], **turn}])
             return
-        turn = json.loads(state.get[0]) if state.exists else new_turn()
+        held = json.loads(state.get[0]) if state.exists else {"turn": new_turn(), "last": 0}
         rows = pd.concat(list(batches))
-        turn = told(turn, rows.sort_values("seq", kind="stable")["frame"].map(parsed).tolist())
+        turn = told(held["turn"], rows)
         if turn["done"]:
             if state.exists:
                 state.remove()
         else:
-            state.update((json.dumps(turn),))
-            if expire_ms:
+            last = max(held["last"], int(rows["ts"].max().timestamp() * 1000)) if timed else 0
+            state.update((json.dumps({"turn": turn, "last": last}),))
+            if expire_ms and timed:
+                state.setTimeoutTimestamp(max(last + expire_ms, state.getCurrentWatermarkMs() + 1))
+            elif expire_ms:
                 state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame([{"turn": key[0], **turn}])
 
-    return frames.groupBy("turn").applyInPandasWithState(fold, TURN, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout)
+    rows = with_facts(frames.withWatermark("ts", late) if timed else frames)
+    timeout = GroupStateTimeout.NoTimeout if not expire_ms else GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("turn").applyInPandasWithState(fold, TURN, "state string", "update", timeout)
 
 
 def conversation_texts(conversations: DataFrame) -> DataFrame:
@@ -122,93 +118,7 @@ def conversation_texts(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turns", F.array_join(F.transform("p", lambda s: s["text"]), "").alias("text"))
 
 
-#: The kind of a change by whether there is a baseline and whether there is a text; neither: no change.
-KINDS = {(False, True): "create", (True, True): "modify", (True, False): "delete"}
-
-
-def baseline(known: dict | None, now: str) -> str:
-    """The text that a path's change starts from: `now` with what an earlier change left pending put back."""
-    return now if known is None else reverted(now, pending(known["before"], known["after"], now))
-
-
-def fold_change(held: dict[str, dict], change: dict) -> None:
-    """One write into the state by path: {path: row}, in the order the rows came in, at most MAX_CHANGED of them."""
-    came, path = change.get("from"), change["path"]
-    if change["kind"] == "rename":  # the row moves with its file
-        row = {**held.pop(came), "path": path, "from": came} if came in held else dict(change)
-    else:
-        known = held.get(path)
-        start = baseline(known, change["before"])
-        kind = KINDS.get((bool(start), bool(change["after"])))
-        row = kind and {"path": path, "kind": kind, "before": start, "after": change["after"], "from": (known or {}).get("from")}
-    if row:
-        held[path] = row
-    else:
-        held.pop(path, None)
-    for oldest in list(held)[: max(0, len(held) - MAX_CHANGED)]:
-        del held[oldest]
-
-
-def change_fold(changes: DataFrame) -> DataFrame:
-    """(session, position, path, kind, before, after, from) of writes (session, seq, path, kind, before, after, from).
-
-    Renames cross paths, so the key is the session; a session is one group.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, dict] = {}
-        for r in rows.sort_values("seq", kind="stable").to_dict("records"):
-            fold_change(held, {k: (r[k] if isinstance(r[k], str) else None if k == "from" else "") for k in ("path", "kind", "before", "after", "from")})
-        out = pd.DataFrame(list(held.values()), columns=["path", "kind", "before", "after", "from"])
-        out.insert(0, "position", range(len(out)))
-        out.insert(0, "session", rows["session"].iloc[0])
-        return out
-
-    return changes.groupBy("session").applyInPandas(fold, "session string, position long, path string, kind string, before string, after string, `from` string")
-
-
-def change_fold_stream(changes: DataFrame) -> DataFrame:
-    """change_fold() over a stream: the rows of each session after each batch; the state is the session's rows, at most MAX_CHANGED."""
-    kind = "session string, position long, path string, kind string, before string, after string, `from` string"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
-        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records"):
-            fold_change(held, {k: (r[k] if isinstance(r[k], str) else None if k == "from" else "") for k in ("path", "kind", "before", "after", "from")})
-        state.update((json.dumps(held),))
-        out = pd.DataFrame(list(held.values()), columns=["path", "kind", "before", "after", "from"])
-        out.insert(0, "position", range(len(out)))
-        out.insert(0, "session", key[0])
-        yield out
-
-    return changes.groupBy("session").applyInPandasWithState(fold, kind, "state string", "update", GroupStateTimeout.NoTimeout)
-
-
 def debounced(events: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
     """(user_id, start, n, last_event): bursts of events closer than the gap, with the last of each. Works on streams with a watermark."""
     burst = events.groupBy("user_id", F.session_window("ts", gap).alias("w"))
     return burst.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")).select("user_id", F.col("w.start").alias("start"), "n", "last_event")
-
-
-def latest_notes(notes: DataFrame) -> DataFrame:
-    """Of each path the row with the greatest mtime."""
-    newest = Window.partitionBy("path").orderBy(F.col("mtime").desc())
-    return notes.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
-
-
-def maintain_index(stream: DataFrame, folder: str, checkpoint: str, lang: str = "en"):
-    """Keeps stem counts of a stream of notes: each batch's notes are counted and written as one version below the folder."""
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        fresh = latest_notes(batch)
-        mtimes = fresh.select("path", "mtime")
-        stem_counts(fresh, lang).join(mtimes, "path").write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-
-
-def current_counts(spark, folder: str) -> DataFrame:
-    """(path, stem, n) of the maintained index: of each path the rows of its last batch."""
-    rows = spark.read.parquet(folder)
-    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["path", "batch"], "left_semi").select("path", "stem", "n")
