@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,3 +94,17 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
         return kept.drop("_part")
     shift = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
     return kept.withColumn(name, F.col(name) + shift[F.col("_part")].cast("long")).drop("_part")
+
+
+def under_safe_names(docs: DataFrame, core: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) where all columns but the core ones have names of ours for the time, so none meets the stage's own working columns."""
+    safe = [c if c in core else f"kept{i}" for i, c in enumerate(docs.columns)]
+    back = dict(zip(safe, docs.columns, strict=True))
+    out = stage(docs.toDF(*safe))
+    return out.toDF(*[back.get(c, c) for c in out.columns])
+
+
+def plain(df: DataFrame, column: str) -> Column:
+    """The column in a form that can be hashed and ordered: JSON for what holds a map or a variant, else itself."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else F.col(column)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WORD, hot_join, numbered, written
+from vellum.llm.common import WORD, hot_join, numbered, plain, under_safe_names, written
 
 #: Documents of a bucket on average; residuals that meet in one group of the tree.
 BUCKET, FAN_IN = 2_000, 256
@@ -124,8 +124,8 @@ def size_of(text: Column) -> Column:
 
 
 def marked(docs: DataFrame, *names: str) -> list[Column]:
-    """64-bit hashes of all columns of a row, one by name; columns of maps and variants, which have no hash, are left out."""
-    row = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    """64-bit hashes of all columns of a row, one by name; maps and variants, which have no hash, count by their JSON."""
+    row = [plain(docs, c) for c in docs.columns]
     return [F.xxhash64(F.lit(i), *row).alias(name) for i, name in enumerate(names)]
 
 
@@ -188,19 +188,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept; rows without words stay once.
 
-    A row is known by its hash, so rows of one id, source and length with
-    different texts are taken each for itself; rows that are equal in all columns are taken together.
+    A row is known by the hash of all its columns, so rows of one id, source and length with different
+    texts are taken each for itself; rows that are equal in all columns are taken together. Null ids, texts
+    and sources are values like others; columns may have any names and types, and are left as they are.
     """
-    mark = "_"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
-    h1, h2, size, alike, n = (f"{mark}{x}" for x in ("h1", "h2", "size", "alike", "copies"))
+    return under_safe_names(docs, [id_col, text_col, source_col], lambda rows: taken_rows(rows, id_col, text_col, source_col, seed))
+
+
+def taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    h1, h2, size, alike, n = ("_h1", "_h2", "_size", "_alike", "_copies")
     counted = docs.select("*", *marked(docs, h1, h2), size_of(docs[text_col]).alias(size))
     rows = counted.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size).alias("size"))
     taken = taken_of(rows.filter("size > 0"), seed).groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2)).agg(F.sum("copies").cast("int").alias(n), F.count("*").alias(alike))
     taken = written(taken.filter(F.col(n) > 0).withColumn("rows", F.col(alike)), "taken")
     met = hot_join(counted, taken, [h1, h2], "rows")
     if taken.filter(F.col(alike) > 1).limit(1).count():
-        met = met.filter(F.col(alike) == 1).unionByName(met.filter(F.col(alike) > 1).dropDuplicates())
+        met = met.filter(F.col(alike) == 1).unionByName(met.filter(F.col(alike) > 1).dropDuplicates([h1, h2]))
     out = met.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
     return out.select(*docs.columns).unionByName(docs.filter(size_of(docs[text_col]) == 0))

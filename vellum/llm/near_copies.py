@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from vellum.llm.common import hot_join, written
+from vellum.llm.common import hot_join, plain, under_safe_names, written
 from vellum.llm.simhash import SEED, components, majority, near_pairs, shingles, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -229,8 +229,13 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     Texts without words are equal to each other; one with fewer words than a shingle is one shingle. A
     doc_id that occurs once names its row. Rows whose doc_id is null or repeated are few as a rule: their
-    digests are taken again, so that a row is judged by its own component.
+    digests are taken again, so that a row is judged by its own component. Other columns may have any names
+    and types, and are left as they are.
     """
+    return under_safe_names(docs, ["doc_id", "text"], lambda rows: one_of_each(rows, words, similarity))
+
+
+def one_of_each(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     sketched = written(sketches(docs, words), "sketches")
     named = grouped(docs, sketched, words, similarity)
     ids = sketched.filter("doc_id is not null").select("doc_id", "node")
@@ -244,6 +249,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     heads = named.select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("least").alias("_least"), F.col("copies").alias("_copies"))
     for rows in rest:
         own = hot_join(with_node(rows), heads, "_node", "_copies").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-        row = F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row")
-        kept = kept.unionByName(own.select("_top", row).groupBy("_top").agg(F.min("row").alias("row")).select("row.*").select(docs.columns))
+        order = F.struct("text", *[plain(docs, c) for c in docs.columns if c != "text"])
+        first = own.groupBy("_top").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+        kept = kept.unionByName(first.select("row.*"))
     return kept

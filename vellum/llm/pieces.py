@@ -235,7 +235,11 @@ def encode_digests(docs: DataFrame, model: str, unigram: bool = False) -> DataFr
 
 
 def with_pieces(docs: DataFrame, model: str) -> DataFrame:
-    """docs with pieces array<int>, n_pieces long and round_trip: whether decoding gives the text again, marks read as spaces."""
+    """docs with pieces array<int>, n_pieces long and round_trip: whether decoding gives the text again, marks read as spaces.
+
+    Columns of these three names are replaced; all others stay, whatever their names and types. A null text
+    has no pieces.
+    """
     fields = [f for f in docs.schema.fields if f.name not in ("pieces", "n_pieces", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

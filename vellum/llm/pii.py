@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import under_safe_names, written
 
 #: The kinds in their order and the base patterns. Possessive forms of the contract's: they
 #: match the same, in linear time and without recursion on long runs.
@@ -359,8 +359,13 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; a null text stays null.
 
-    Spans that overlap are replaced together, under the kind of the first.
+    Spans that overlap are replaced together, under the kind of the first. Other columns may have any names
+    and types, and are left as they are; each row is judged by its own text, so null and repeated ids do no harm.
     """
+    return under_safe_names(docs, ["text"], replaced)
+
+
+def replaced(docs: DataFrame) -> DataFrame:
     kept = docs.columns
     rows = spans(docs)
     one = lambda k: F.transform(f"_pii_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k.upper()).alias("kind")))

@@ -176,7 +176,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model does not reject, with all their columns; each row is judged by its own text."""
+    """The documents that the model does not reject, with all their columns, whatever their names; each row is judged by its own text.
+
+    A null text counts as empty; null and repeated ids do no harm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active, weights = Active(model.features), model.weights
