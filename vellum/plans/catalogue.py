@@ -18,6 +18,8 @@ from vellum.streaming import changes, folds, frames, index_log
 NOTE, EXCLUDED, EXCLUDED_NOTE = "src3/doc-000003.md", "src0", "src0/doc-000020.md"
 QUERY, TITLE_QUERY, SCOPE = "the thing with ontion therat linking", "the", "src1/"
 GREP = ["the and", "LA DE"]
+#: Notes with many near-duplicates, orphans, unlinked neighbours and near notes of their folder.
+DUPLICATED, RESCUER, UNLINKED, NEIGHBOUR = "src1/doc-000001.md", "src14/doc-000174.md", "src17/doc-000677.md", "src8/doc-000008.md"
 #: The line that a reader adds to each document under review.
 READER = "a reader's own line"
 
@@ -189,16 +191,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["snippet_pieces"] = lambda s, d: search.snippets(search.bm25(built(s, d), QUERY, 20), notes_of(s, d), QUERY)
     # signals
     q["in_degree"] = lambda s, d: signals.in_degree(vault.line_links(s, d))
-    q["near_duplicates"] = lambda s, d: rounded(signals.near_duplicates(built(s, d), NOTE), "score")
-    q["adoptable_orphans"] = lambda s, d: rounded(signals.adoptable_orphans(*linked(s, d)[:2], NOTE), "score")
-    q["unlinked_neighbours"] = lambda s, d: rounded(signals.unlinked_neighbours(*linked(s, d)[:2], NOTE), "score")
+    q["near_duplicates"] = lambda s, d: rounded(signals.near_duplicates(built(s, d), DUPLICATED), "score")
+    q["adoptable_orphans"] = lambda s, d: rounded(signals.adoptable_orphans(*linked(s, d)[:2], RESCUER), "score")
+    q["unlinked_neighbours"] = lambda s, d: rounded(signals.unlinked_neighbours(*linked(s, d)[:2], UNLINKED), "score")
     q["stale_links"] = lambda s, d: rounded(signals.stale_links(*linked(s, d)[:2]), "score")
     q["dangling_links"] = lambda s, d: vault.page_dangling(s, d)
     q["attention_queue"] = lambda s, d: rounded(signals.attention_queue(*linked(s, d)), "score")
     q["note_panel"] = lambda s, d: rounded(signals.panel(*linked(s, d), NOTE), "score")
     q["panel_rows"] = lambda s, d: signals.presented(signals.panel(*linked(s, d), NOTE), notes_of(s, d), NOTE)
-    q["panel_same_folder"] = lambda s, d: signals.presented(signals.panel(*linked(s, d), NOTE), notes_of(s, d), NOTE, True)
-    q["stale_of_note"] = lambda s, d: rounded(signals.stale_order(signals.stale_links(*linked(s, d)[:2]), NOTE), "score")
+    q["panel_same_folder"] = lambda s, d: signals.presented(signals.panel(*linked(s, d), NEIGHBOUR), notes_of(s, d), NEIGHBOUR, True)
+    q["stale_of_note"] = lambda s, d: rounded(signals.stale_order(signals.stale_links(*linked(s, d)[:2]), DUPLICATED), "score")
     q["queue_next"] = lambda s, d: rounded(signals.next_row(signals.attention_queue(*linked(s, d)), 3, NOTE), "score")
     q["top_set"] = lambda s, d: index.top_set(built(s, d), NOTE)
     # vault
@@ -237,7 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["community_labels"] = lambda s, d: (lambda c: graph.community_labels(c[0], c[2]))(communities(s, d))
     q["community_legend"] = lambda s, d: (lambda c: graph.legend(c[0], graph.community_labels(c[0], c[2])))(communities(s, d))
     q["graph_layout"] = drawn
-    q["community_color"] = lambda s, d: s.range(50).select(F.col("id").alias("community"), community_colour(F.col("id")).alias("dark"), community_colour(F.col("id"), True).alias("paper"))
+    q["community_color"] = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("community"), community_colour(F.col("doc_id")).alias("dark"), community_colour(F.col("doc_id"), True).alias("paper"))
     # folds
     q["conversation_texts"] = lambda s, d: folds.conversation_texts(s.read.parquet(f"{d}/conversations.parquet"))
     q["maintained_index"] = maintained
@@ -416,34 +418,33 @@ def oracle_sql() -> dict[str, str]:
     o["snippet_window"] = BASE + f""", f as (select path, {_FLAT} as text from notes), g as (select path, text, strpos(lower(text), 'ontion') as p, strpos(lower(text), 'thing') as q from f)
       select path, substr(text, cast(greatest(coalesce(least(nullif(p, 0), nullif(q, 0)) - 1, 0) - 50, 0) as bigint) + 1, 170) as snippet from g"""
     o["in_degree"] = BASE + " select dst as path, cast(sum(n) as bigint) as deg from links group by dst"
-    o["near_duplicates"] = BASE + near_sql(NOTE) + " select path, round(overlap, 6) as score from near where score >= 0.08 and overlap >= 0.5 order by near.overlap desc, path limit 10"
-    o["adoptable_orphans"] = BASE + near_sql(NOTE) + " select path, round(score, 6) as score from near where score >= 0.08 and overlap >= 0.08 and path not in (select dst from links) order by near.score desc, path limit 10"
-    unlinked = f"path not in (select dst from links where src = '{NOTE}' union all select src from links where dst = '{NOTE}')"
-    o["unlinked_neighbours"] = BASE + near_sql(NOTE) + f" select path, round(score, 6) as score from near where score >= 0.25 and overlap >= 0.08 and {unlinked} order by near.score desc, path limit 10"
+    o["near_duplicates"] = BASE + near_sql(DUPLICATED) + " select path, round(overlap, 6) as score from near where score >= 0.08 and overlap >= 0.5 order by near.overlap desc, path limit 10"
+    o["adoptable_orphans"] = BASE + near_sql(RESCUER) + " select path, round(score, 6) as score from near where score >= 0.08 and overlap >= 0.08 and path not in (select dst from links) order by near.score desc, path limit 10"
+    unlinked = lambda note: f"path not in (select dst from links where src = '{note}' union all select src from links where dst = '{note}')"
+    o["unlinked_neighbours"] = BASE + near_sql(UNLINKED) + f" select path, round(score, 6) as score from near where score >= 0.25 and overlap >= 0.08 and {unlinked(UNLINKED)} order by near.score desc, path limit 10"
     stale = """, few as (select src from links group by src having count(*) <= 12), k as (
       select l.src, l.dst, count(q.stem) as shared from links l join few using (src) join notes n on n.path = l.src and not n.excluded join disc p on p.path = l.src left join disc q on q.path = l.dst and q.stem = p.stem group by all
     ), thin as (select k.src, k.dst, shared / (x.k + y.k - shared) as score from k join dsizes x on x.path = k.src join dsizes y on y.path = k.dst where shared / (x.k + y.k - shared) < 0.02)"""
     o["stale_links"] = BASE + stale + " select src, dst, round(score, 6) as score from thin"
     o["dangling_links"] = BASE + " select src, target, n from dangling"
     o["attention_queue"] = BASE + PAIRS + QUEUE
-    o["note_panel"] = BASE + near_sql(NOTE) + stale + f""", listed as (
+    def panel(note: str) -> str:
+        return BASE + near_sql(note) + stale + f""", listed as (
       select * from (select 'duplicates' as kind, 1 as turn, path, overlap as score from near where score >= 0.08 and overlap >= 0.5 order by near.overlap desc, path limit 10)
       union all select * from (select 'orphans', 2, path, score from near where score >= 0.08 and overlap >= 0.08 and path not in (select dst from links) order by near.score desc, path limit 10)
       union all select * from (select 'related', 3, path, score from near where score >= 0.12 and overlap >= 0.02 order by near.score desc, path limit 20)
-    ), once as (select *, row_number() over (partition by path order by turn) as c from listed)
-    select kind, o.path as other, round(o.score, 6) as score, kind = 'related' and n.score >= 0.25 and n.overlap >= 0.08 and o.{unlinked} as unlinked from once o join near n on n.path = o.path where c = 1
-    union all select 'stale', dst, round(score, 6), false from thin where src = '{NOTE}'
-    union all select distinct 'dangling', target, 0.0, false from dangling where src = '{NOTE}'"""
-    panel = o["note_panel"]
-    shown = """select kind, other, coalesce(n.basename, other) as title, coalesce(t.same > 1, false) as ambiguous,
+    ), once as (select *, row_number() over (partition by path order by turn) as c from listed), p as (
+      select kind, o.path as other, o.score, kind = 'related' and n.score >= 0.25 and n.overlap >= 0.08 and o.{unlinked(note)} as unlinked from once o join near n on n.path = o.path where c = 1
+      union all select 'stale', dst, score, false from thin where src = '{note}'
+      union all select distinct 'dangling', target, 0.0, false from dangling where src = '{note}')"""
+
+    shown = """ select kind, other, coalesce(n.basename, other) as title, coalesce(t.same > 1, false) as ambiguous,
       cast(round(100 * score / case when max(score) over (partition by kind) > 0 then max(score) over (partition by kind) else 1 end) as integer) as percent, printf('%.2f', score) as shown, unlinked
       from p left join notes n on n.path = other left join (select basename, count(*) as same from notes group by basename) t using (basename)"""
-    head, tail = panel.split("once as (select *, row_number()", 1)
-    whole, rest = tail.split("select kind, o.path as other", 1)
-    p_rows = head + "once as (select *, row_number()" + whole + ", p as (select kind, o.path as other" + rest.replace("round(o.score, 6)", "o.score").replace("round(score, 6)", "score") + ") "
-    o["panel_rows"] = p_rows + shown
-    o["panel_same_folder"] = p_rows + shown + f" where kind = 'dangling' or starts_with(other, '{NOTE.split('/')[0]}/')"
-    o["stale_of_note"] = BASE + stale + f" select src, dst, round(score, 6) as score from thin where src = '{NOTE}'"
+    o["note_panel"] = panel(NOTE) + " select kind, other, round(score, 6) as score, unlinked from p"
+    o["panel_rows"] = panel(NOTE) + shown
+    o["panel_same_folder"] = panel(NEIGHBOUR) + shown + f" where kind = 'dangling' or starts_with(other, '{NEIGHBOUR.split('/')[0]}/')"
+    o["stale_of_note"] = BASE + stale + f" select src, dst, round(score, 6) as score from thin where src = '{DUPLICATED}'"
     o["queue_next"] = "select path, score, reason from (" + o["attention_queue"] + f") where path <> '{NOTE}' order by score desc, path limit 1 offset 3"
     o["top_set"] = BASE + f" select stem from top where path = '{NOTE}'"
     before = ", pr as (select doc_id, coalesce(text, '') as before, coalesce(lag(coalesce(text, '')) over (partition by source order by doc_id), '') as other from documents), ed as (select doc_id, before, concat(string_split(other, chr(10))[1], chr(10), array_to_string(list_slice(string_split(before, chr(10)), 2, len(string_split(before, chr(10)))), chr(10))) as after from pr)"
@@ -461,6 +462,9 @@ def oracle_sql() -> dict[str, str]:
     o["diff_lines"] = BASE + before + f" select doc_id, cast({added} as integer) as added, cast({removed} as integer) as removed from pe"
     o["changes_panel"] = BASE + before + f" select doc_id, 'M' as letter, cast({added} as integer) as added, cast({removed} as integer) as removed, cast({total} as integer) as total, cast(least({total}, 400) as integer) as shown from pe"
     there = " from pe where before = '' or n = 1 or other_first"
+    o["hunk_decorations"] = BASE + before + f""", de as (select doc_id, cast({case(0, 1, 0, 0, 0)} as integer) as line, cast({case(2, 2, 2, 1, 0)} as integer) as past, a from pe where before = '' or n = 1 or other_first)
+      select doc_id, 'block' as kind, line, false as at_end from de union all
+      select doc_id, 'line', cast(unnest(range(line, past)) as integer), false from de where not regexp_matches(a[line + 1], '^\\s*(?:>|\\|)')"""
     o["hunk_ranges"] = BASE + before + f" select doc_id, cast({case(0, 1, 0, 0, 0)} as integer) as before_start, cast({case(0, 1, 1, 1, 0)} as integer) as before_end, cast({case(0, 1, 0, 0, 0)} as integer) as after_start, cast({case(2, 2, 2, 1, 0)} as integer) as after_end" + there
     o["grouped_hunks"] = BASE + before + f" select doc_id, cast(1 as bigint) as span, 0 as lo, cast({case(2, 2, 3, 'least(4, n + 1)', 0)} as integer) as hi" + there
     o["list_files"] = BASE + " select basename as name, path from notes where starts_with(path, 'src1/')"
@@ -492,8 +496,9 @@ def oracle_sql() -> dict[str, str]:
     edges = ", e as (select a, b, 1.0 as w, false as inferred from written where a <> b union all select a, b, score, true from gated g where score >= 0.25 and overlap >= 0.02 and not exists (select 1 from written w where w.a = g.a and w.b = g.b))"
     o["graph_edges"] = BASE + PAIRS + edges + " select a, b, round(cast(w as double), 6) as w, inferred from e"
     o["graph_nodes"] = BASE + PAIRS + edges + " select path, count(*) as deg from (select a as path from e union all select b from e) group by path order by deg desc, path limit 200"
-    o["community_color"] = """select i as community, printf('hsl(%.1f, 66%%, %d%%)', 212 + (i * 0.6180339887::double % 1) * 94, case when i % 2 = 0 then 70 else 54 end) as dark,
-      printf('hsl(%.1f, 66%%, %d%%)', 212 + (i * 0.6180339887::double % 1) * 94, case when i % 2 = 0 then 42 else 30 end) as paper from range(50) t(i)"""
+    hue = "212 + (doc_id * 0.6180339887::double % 1) * 94"
+    o["community_color"] = f"""select doc_id as community, printf('hsl(%.1f, 66%%, %d%%)', {hue}, case when doc_id % 2 = 0 then 70 else 54 end) as dark,
+      printf('hsl(%.1f, 66%%, %d%%)', {hue}, case when doc_id % 2 = 0 then 42 else 30 end) as paper from documents"""
     o["conversation_texts"] = "select conv_id, count(*) as turns, string_agg(coalesce(text, ''), '' order by turn, role, text) as text from conversations group by conv_id"
     o["maintained_index"] = BASE + " select case when mtime % 19 = 1 then concat('moved/', path) else path end as path, stem, n from counts join notes using (path) where mtime % 19 = 1 or (mtime % 17 <> 0 and mtime % 13 <> 5)"
     o["routed_frames"] = """select cast(conv_id as varchar) as connection, cast(10 * turn as bigint) as seq, case when turn % 3 = 0 then 'rpc' else 'chat' end as route
