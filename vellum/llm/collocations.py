@@ -31,6 +31,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 DEPTH, MAX_BITS, BLOCK_BITS = 2, 27, 16
 #: Bytes of text that are counted at once (a longer text alone), and phrases that a task sums before it sends them on.
 CHUNK, HELD = 8 << 20, 1_000_000
+#: Bytes of input of a task at most, where that leaves TASKS tasks to a core: what a task sums and sends grows less than what it reads.
+TASK_BYTES, TASKS = 1 << 30, 2
 #: Piece separators become line feeds, tabs become spaces, A to Z are lower-cased.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKEN = re.compile(rb"[^ \n]+|\n")
@@ -216,9 +218,12 @@ def survivors(pairs, longer, longest: int):
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> DataFrame:
     """(lang, phrase, f): every phrase of two to `longest` words with f >= least, exactly, every word of one, and all words as the empty phrase."""
     sc = docs.sparkSession.sparkContext
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if bits is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         bits = min(MAX_BITS, max(16, (size // 32).bit_length()))
+    tasks = max(TASKS * sc.defaultParallelism, -(-size // TASK_BYTES))
+    if docs.rdd.getNumPartitions() > tasks:
+        docs = docs.coalesce(tasks)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     pairs = sc.broadcast(sketch(texts, bits, least, longest))
     longer = sc.broadcast(sketch(texts, bits, least, longest, pairs))
