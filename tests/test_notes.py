@@ -271,3 +271,32 @@ def test_an_index_is_built_once_for_callers_at_the_same_time(spark):
     for k in range(40):
         once(spark, ("test", k), make)
     assert len(made) == 41 and once(spark, ("test", "key"), make) is not got[0]
+
+
+def test_autolink_of_the_tables_equals_plain_code(spark):
+    import re
+
+    notes = vault.document_notes(spark, "/root/testdata/sf0.001").collect()
+    counts = {}
+    for n in notes:
+        counts[n.title] = counts.get(n.title, 0) + 1
+    titles = sorted((t for t, k in counts.items() if k == 1 and len(t) >= 2), key=lambda t: (-len(t), t))
+    want, links = {}, 0
+    for n in notes:
+        body, mask, added = n.content, [False] * len(n.content), []
+        for rule in (r"(?m)^#{1,6}[ \t]\S.*$", r"`[^`\n]+`", r"(?s)\$\$.*?\$\$", r"\$[^$\n]+\$"):
+            for m in re.finditer(rule, body):
+                mask[m.start() : m.end()] = [True] * (m.end() - m.start())
+        for t in titles:
+            if t.lower() == n.title.lower():
+                continue
+            for m in re.finditer(rf"(?<![A-Za-z0-9_\[]){re.escape(t)}(?![A-Za-z0-9_\]])", body, re.I):
+                if not any(mask[m.start() : m.end()]):
+                    body = f"{body[: m.start()]}[[{t}]]{body[m.end() :]}"
+                    mask[m.start() : m.end()] = [True] * (len(t) + 4)
+                    added.append(t)
+                    break
+        want[n.path] = (body, added)
+        links += len(added)
+    got = {r.path: (r.content, list(r.added)) for r in mentions.autolink(vault.document_notes(spark, "/root/testdata/sf0.001")).collect()}
+    assert got == want and links > 20
