@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from vellum.llm.common import hot_join, plain, under_safe_names, written
+from vellum.llm.common import hot_join, plain, sized, under_safe_names, written
 from vellum.llm.simhash import SEED, components, majority, near_pairs, shingles, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -84,12 +84,13 @@ def with_node(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """(all): lists of the rows (key, node, fp, n) that meet, of bands with several rows."""
+def cells(nodes: DataFrame) -> DataFrame:
+    """(all): lists of the nodes (node, fp, n) that meet, of bands with several nodes. Bands are matched by numbers only; what a node holds comes to those that stay."""
+    rows = nodes.select("id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     sizes = written(sizes.select("key", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "sizes")
-    met = dealt(hot_join(rows, sizes, "key", "rows"))
-    return met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "fp", "n")).alias("all")).select("all")
+    stay = hot_join(rows, sizes, "key", "rows").join(nodes.select("id", "node", "fp", "n"), "id").drop("id")
+    return dealt(stay).groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "fp", "n")).alias("all")).select("all")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -188,40 +189,45 @@ def verified(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def sets(docs: DataFrame, wanted: DataFrame, words: int, named: bool) -> DataFrame:
     """wanted (node, own, ...) with h, the distinct shingle hashes of each node, from the text of its smallest doc_id.
 
-    Documents are chosen by doc_id before their texts meet, so the copies of a text do not; those without an id all come.
+    Documents are chosen by doc_id before their texts meet, so the copies of a text do not. Where each doc_id
+    names one row (named) their hashes are taken in place; else rows without an id all come, and one text is
+    chosen for each node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.unique(shingles(words_of(t or ""), words)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["of", "h"])
 
-    ids = wanted.filter("own is not null").select("own")
-    chosen = docs.join(ids, docs["doc_id"] == ids["own"], "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
-    texts = with_node(chosen).withColumnRenamed("_node", "node").join(wanted.select("node"), "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node binary, h array<long>").join(wanted.drop("own"), "node")
+    ids = sized(written(wanted.filter("own is not null").select("own").distinct(), "wanted-ids"))
+    chosen = docs.join(ids, docs["doc_id"] == ids["own"], "left_semi")
+    if named:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return chosen.select("doc_id", "text").mapInArrow(run, f"of {kind}, h array<long>").join(sized(wanted), F.col("of") == F.col("own")).drop("of", "own")
+    texts = with_node(chosen.select("text").unionByName(docs.filter("doc_id is null").select("text"))).withColumnRenamed("_node", "node").join(wanted.select("node"), "node", "left_semi")
+    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "of binary, h array<long>").withColumnRenamed("of", "node").join(wanted.drop("own"), "node")
 
 
-def grouped(docs: DataFrame, sketched: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, top, least, copies) of each node: its component's smallest node and smallest doc_id, and its rows."""
+def grouped(docs: DataFrame, sketched: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, named: bool = False) -> DataFrame:
+    """(node, top, least, copies) of each node: its component's smallest node and smallest doc_id, and its rows. named: each doc_id names one row."""
     rest = [F.first(c).alias(c) for c in ("fp", "n", "bands")]
-    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"), *rest), "nodes")
-    rows = nodes.select("node", "fp", "n", F.explode("bands").alias("key"))
-    near = components(ordered(cells(rows).mapInArrow(proposed(similarity), "node binary, other binary")))
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"), *rest)
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    near = components(ordered(cells(nodes).mapInArrow(proposed(similarity), "node binary, other binary")))
     ends = near.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("cluster")).distinct()
     ends = written(ends.join(nodes.select("node", "own", "fp", "n", "bands"), "node"), "clustered")
     size = F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
     sizes = written(ends.groupBy("cluster").agg(F.count("*").alias("members"), size), "clusters")
-    met = dealt(sets(docs, hot_join(ends.drop("n"), sizes, "cluster", "members"), words))
+    met = dealt(sets(docs, written(hot_join(ends.drop("n"), sizes, "cluster", "members"), "wanted"), words, named))
     links = met.groupBy("cluster", "i", "j").applyInArrow(verified(similarity), "node binary, other binary")
     tops = components(ordered(links))
-    named = nodes.join(tops, nodes["node"] == tops["a"], "left").select("node", F.coalesce("b", "node").alias("top"), "own", "copies")
-    named = written(named, "tops")
-    heads = written(named.groupBy("top").agg(F.min("own").alias("least"), F.count("*").alias("nodes")), "heads")
-    return written(hot_join(named.drop("own"), heads, "top", "nodes").select("node", "top", "least", "copies"), "named")
+    top = nodes.join(tops, nodes["node"] == tops["a"], "left").select("node", F.coalesce("b", "node").alias("top"), "own", "copies")
+    top = written(top, "tops")
+    heads = written(top.groupBy("top").agg(F.min("own").alias("least"), F.count("*").alias("nodes")), "heads")
+    return written(hot_join(top.drop("own"), heads, "top", "nodes").select("node", "top", "least", "copies"), "named")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,13 +243,15 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
 def one_of_each(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     sketched = written(sketches(docs, words), "sketches")
-    named = grouped(docs, sketched, words, similarity)
     ids = sketched.filter("doc_id is not null").select("doc_id", "node")
     repeated = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    nameless = sketched.filter("doc_id is null").limit(1).count() > 0
+    named = grouped(docs, sketched, words, similarity, not nameless and not repeated.limit(1).count())
     gone = hot_join(ids, named, "node", "copies").filter("doc_id <> least").select(F.col("doc_id").alias("_gone"))
     gone = written(gone.unionByName(repeated.select(F.col("doc_id").alias("_gone"))).distinct(), "gone")
+    gone = sized(gone)
     kept = docs.filter("doc_id is not null").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    rest = [docs.filter("doc_id is null")] if sketched.filter("doc_id is null").limit(1).count() else []
+    rest = [docs.filter("doc_id is null")] if nameless else []
     if repeated.limit(1).count():
         rest.append(hot_join(docs, repeated, "doc_id", "n", "left_semi").select(docs.columns))
     heads = named.select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("least").alias("_least"), F.col("copies").alias("_copies"))
