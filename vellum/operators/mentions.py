@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.markdown import CLOSED, spans_of
-from vellum.storage import kept, sized
+from vellum.storage import fits, kept, sized, small_batches
 
 #: A text in pieces, one from each place where a mention may start to the next: for the index, at a letter or digit
 #: that follows none; for links, after no word character or bracket.
@@ -59,22 +59,26 @@ def mentions(notes: DataFrame, titles: DataFrame, piece: str = INDEX_PIECE) -> D
 
     A start's key, its piece or the first two characters of it, is looked up for the lengths of the titles
     with that key; only these lengths are cut from the text, and what is cut meets the titles by
-    equality. The lookup has a row for each key and is broadcast if it is small, else it is shuffled; the
-    titles are not. No start is held against each title of its key.
+    equality. Both lookups are broadcast where they are small, so what is cut and is no title never leaves its
+    task; of titles too many for that, 64-bit hashes are. Bodies are dealt by path once, so a note's repeated mentions
+    are dropped where they are found. No start is held against each title of its key.
     """
     keyed = kept(keyed_titles(titles, piece), "titles")
     most = keyed.agg(F.max("pieces").alias("m"), F.max("size").alias("s")).first()
     if most["m"] is None:
         return notes.select(F.lit("").alias("title"), "path").limit(0)
-    bodies = kept(notes.select("path", cut(F.lower(F.coalesce("content", F.lit(""))), piece).alias("p")).filter(F.size("p") > 0), "pieces")
-    sizes = lambda of: sized(kept(keyed.filter(of).groupBy("key").agg(F.collect_set("size").alias("sizes")), "title-sizes"))
+    bodies = notes.select("path", "content").repartition("path").select("path", cut(F.lower(F.coalesce("content", F.lit(""))), piece).alias("p")).filter(F.size("p") > 0)
+    sizes = kept(keyed.groupBy((F.col("pieces") > 1).alias("several"), "key").agg(F.collect_set("size").alias("sizes")), "title-sizes")
     every = F.sequence(F.lit(1), F.size("p"))
-    ahead = F.transform(every, lambda i: F.struct(F.get("p", i - 1).alias("key"), F.left(F.array_join(F.slice("p", i, F.lit(most["m"])), ""), F.lit(most["s"])).alias("text")))
-    several = bodies.select("path", F.explode(ahead).alias("s")).select("path", "s.key", "s.text").join(sizes("pieces > 1"), "key")
-    single = bodies.select("path", F.explode(F.array_distinct("p")).alias("text")).withColumn("key", F.left("text", F.lit(2))).join(sizes("pieces = 1"), "key")
-    one = several.unionByName(single.select("key", "path", "text", "sizes"))
-    grams = one.select("path", "text", F.explode("sizes").alias("size")).filter(F.length("text") >= F.col("size")).select("path", F.left("text", F.col("size")).alias("low")).distinct()
-    return grams.join(keyed.select("title", "low"), "low").select("title", "path").distinct()
+    ahead = F.transform(every, lambda i: F.struct(F.lit(True).alias("several"), F.get("p", i - 1).alias("key"), F.left(F.array_join(F.slice("p", i, F.lit(most["m"])), ""), F.lit(most["s"])).alias("text")))
+    single = F.transform(F.array_distinct("p"), lambda t: F.struct(F.lit(False).alias("several"), F.left(t, F.lit(2)).alias("key"), t.alias("text")))
+    starts = bodies.select("path", F.explode(F.concat(ahead, single)).alias("s")).select("path", "s.several", "s.key", "s.text").join(sized(sizes), ["several", "key"])
+    grams = starts.select("path", "text", F.explode("sizes").alias("size")).filter(F.length("text") >= F.col("size")).select("path", F.left("text", F.col("size")).alias("low"))
+    known = keyed.select("title", "low")
+    if not fits(known):
+        hashes = kept(known.select(F.xxhash64("low").alias("h")).distinct(), "title-hashes")
+        grams = grams.withColumn("h", F.xxhash64("low")).join(sized(hashes), "h", "left_semi").select("path", "low").distinct()
+    return grams.join(sized(known), "low").select("title", "path").distinct()
 
 
 def mention_index(notes: DataFrame, titles: DataFrame) -> DataFrame:
@@ -114,6 +118,7 @@ def autolink(notes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     mentioned = mentions(notes, unique_titles(notes) if titles is None else titles, LINK_PIECE)
     per_note = mentioned.groupBy(F.col("path").alias("_p")).agg(F.sort_array(F.collect_set("title")).alias("titles"))
     joined = notes.join(per_note, notes["path"] == per_note["_p"], "left").select("path", "title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
+    small_batches(notes.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
