@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.storage import small_batches
+
 #: Fixed value: above so many cells the changed middle is one block of removals, then additions.
 MAX_CELLS = 2_000_000
 LINES = "array<struct<op:string,text:string>>"
@@ -124,6 +126,7 @@ def without(before: str, after: str, h: dict) -> str:
 def over(rows: DataFrame, function, kind: str, name: str, *columns: str) -> DataFrame:
     """rows with `name`: the function of the columns, null texts as empty, in Arrow batches."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,6 +200,7 @@ def drop_hunk(rows: DataFrame) -> DataFrame:
 def over_hunk(rows: DataFrame, function, kind: str, name: str, *columns: str) -> DataFrame:
     """rows with `name`: the function of the text columns and of the struct column hunk; null texts as empty."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -240,6 +244,7 @@ def review(rows: DataFrame) -> DataFrame:
     hunks of that content. A row is open while the baseline and the written version differ; the reader's
     own edits are in the document only and keep nothing open. Any other action raises.
     """
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["action", "before", "after", "doc", "hunk"]

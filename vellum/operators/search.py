@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vellum.config import BARS
 from vellum.functions.text import FRONTMATTER, TOKEN, clean, counted, stem, tokens
 from vellum.operators.index import NoteIndex, Postings, lengths, stem_bucket
+from vellum.storage import small_batches
 
 #: Width of a snippet and its run-up before the first match.
 WIDTH, LEAD = 170, 50
@@ -134,6 +135,7 @@ def pieces_of(text: str, words: list[str], width: int = WIDTH) -> list[tuple[str
 def snippets(hits: DataFrame, notes: DataFrame, query: str) -> DataFrame:
     """(path, pieces) of the hits; no pieces where a body is missing. Only the hits' bodies are read."""
     words = query_terms(query)
+    small_batches(notes.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
