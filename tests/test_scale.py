@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellum import storage
-from vellum.operators import diffs, mentions
+from vellum.operators import diffs, index, mentions, pairs
 
 
 def plan(df):
@@ -30,3 +30,21 @@ def test_python_workers_get_few_texts_at_a_time(spark):
     rows = spark.range(1500).select(F.col("id"), F.lit("a\nb").alias("before"), F.lit("a\nc").alias("after"))
     assert diffs.hunk_ranges(rows).count() == 1500
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == storage.BATCH
+
+
+def test_pairs_are_counted_inside_two_blocks_and_never_shuffled(spark, monkeypatch):
+    words = [f"w{chr(97 + i)}x{chr(97 + j)}" for i in range(6) for j in range(5)]
+    texts = [" ".join(words[(3 * i + k * (1 + i % 4)) % len(words)] for k in range(i % 9)) for i in range(25)]
+    i = index.build(noted(spark, texts).withColumn("mtime", F.lit(1)), [], "en")
+    top, disc = {}, {}
+    for rows, sets in ((i.top, top), (i.disc, disc)):
+        for r in rows.collect():
+            sets.setdefault(r.path, set()).add(r.stem)
+    like = lambda s, t: len(s & t) / len(s | t) if s | t else 0.0
+    want = {(a, b, len(top[a] & top[b]), like(top[a], top[b]), like(disc.get(a, set()), disc.get(b, set()))) for a in top for b in top if a < b and top[a] & top[b]}
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(pairs, "GIVEN", 3)
+    found = pairs.block_pairs(i, 0.2, 0.1)
+    assert {tuple(r) for r in found.collect()} == {w for w in want if w[3] >= 0.2 and w[4] >= 0.1}
+    assert {tuple(r) for r in pairs.candidates(i).collect()} == {w[:3] for w in want}
+    assert "Join" not in plan(found) and "HashAggregate" not in plan(found)
