@@ -48,3 +48,16 @@ def test_pairs_are_counted_inside_two_blocks_and_never_shuffled(spark, monkeypat
     assert {tuple(r) for r in found.collect()} == {w for w in want if w[3] >= 0.2 and w[4] >= 0.1}
     assert {tuple(r) for r in pairs.candidates(i).collect()} == {w[:3] for w in want}
     assert "Join" not in plan(found) and "HashAggregate" not in plan(found)
+
+
+def test_words_are_counted_where_their_note_is(spark):
+    p = plan(index.stem_counts(noted(spark, ["one tested thing", "other things"])))
+    assert p.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in p
+    assert "_one" in p  # the singular is not put in for each of its uses
+
+
+def test_one_note_meets_the_others_stems_in_one_pass(spark):
+    i = index.build(noted(spark, ["alpha beta gamma", "alpha beta gamma delta", "beta epsilon", ""]).withColumn("mtime", F.lit(1)), [], "en")
+    near = pairs.related_all(i, "n000.md")
+    assert "LeftSemi" not in plan(near)
+    assert [(r.path, r.score, r.overlap) for r in near.orderBy("path").collect()] == [("n001.md", 0.75, 0.75), ("n002.md", 0.25, 0.25)]
