@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.storage import kept, sized, spread
+from vellum.storage import fits, kept, sized, spread
 
 #: Words and white space of the contracts: space and U+0009 to U+000D part words, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,9 +62,12 @@ def hot_join(big: DataFrame, small: DataFrame, key: str | list[str], count: str,
     """big joined with small on key (inner, left or left_semi); small has one row per key and, in `count`, big's rows of it.
 
     Rows of hot keys meet a broadcast of small's rows, at most HOT_KEYS, and are not shuffled; all other
-    rows are joined by a shuffle in which no key is hot. small is read several times: give a written table.
+    rows are joined by a shuffle in which no key is hot. A small table whose measured rows fit is broadcast whole, so
+    that the planner's guess does not decide how often big is shuffled. small is read several times: give a written table.
     """
     keys = [key] if isinstance(key, str) else key
+    if fits(small):
+        return big.join(F.broadcast(small.drop(count)), keys, how)
     total = small.agg(F.sum(count).alias("n")).first()["n"] or 0
     many = F.col(count) > max(HOT_ROWS, total / HOT_KEYS)
     hot, cold = small.filter(many).drop(count), small.filter(~many).drop(count)
