@@ -75,3 +75,29 @@ def test_keys_lines_and_decorations_of_hunks(spark):
     assert got == [("block", 0, False), ("block", 1, False), ("block", 4, True), ("line", 0, False)]
     panel = diffs.changes_panel(diffs.diff_lines(rows.withColumn("kind", F.lit("rename"))), "path", 3).first()
     assert (panel.letter, panel.added, panel.removed, panel.total, len(panel.shown)) == ("R", 2, 3, 7, 3)
+
+
+def test_a_text_of_any_size_is_accepted_line_by_line(spark):
+    lines = [f"line {i % 700}" for i in range(2000)]
+    before, after = "\n".join(lines), "\n".join(["first", *lines[1:]])
+    doc = after + "\nmine"
+    assert [diffs.changed(h) for h in diffs.hunks(before, doc, None)] == [(("line 0",), ("first",)), ((), ("mine",))]
+    assert reviewed(spark, ("p", "accept", before, after, doc, None)) == [(after, after, doc, "modify", False)]
+
+
+def test_ops_are_those_of_the_table_of_lengths():
+    import numpy as np
+
+    for seed in range(300):
+        draw = np.random.default_rng(seed)
+        p, q = (draw.integers(0, 1 + seed % 7, draw.integers(0, 25)) for _ in "pq")
+        length = np.zeros((len(p) + 1, len(q) + 1), int)
+        for i in range(len(p) - 1, -1, -1):
+            for j in range(len(q) - 1, -1, -1):
+                length[i, j] = length[i + 1, j + 1] + 1 if p[i] == q[j] else max(length[i + 1, j], length[i, j + 1])
+        want, i, j = [], 0, 0
+        while i < len(p) and j < len(q):
+            op = " " if p[i] == q[j] else "-" if length[i + 1, j] >= length[i, j + 1] else "+"
+            want.append(op)
+            i, j = i + (op != "+"), j + (op != "-")
+        assert "".join(diffs.walk(p, q)) == "".join(want) + "-" * (len(p) - i) + "+" * (len(q) - j)

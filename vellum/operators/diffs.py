@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from vellum.storage import small_batches
 
-#: Fixed value: above so many cells the changed middle is one block of removals, then additions.
+#: Fixed value of all but accepting: above so many cells the changed middle is one block of removals, then additions.
 MAX_CELLS = 2_000_000
 LINES = "array<struct<op:string,text:string>>"
 HUNKS = "array<struct<before_start:int,before_end:int,after_start:int,after_end:int,removed:array<string>,added:array<string>>>"
@@ -24,40 +25,74 @@ def lines_of(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def diff(before: str, after: str) -> list[tuple[str, str]]:
-    """(op, line) with op space, minus or plus; removals come before additions."""
+def grown(row: int, hits: int, full: int) -> int:
+    """The row of the table of walk() before `row`, given where its line stands in the other text."""
+    u = row & hits
+    return (row + u | row - u) & full if u else row
+
+
+def walk(p: np.ndarray, q: np.ndarray) -> Iterator[str]:
+    """The ops that lead from the lines p to the lines q along a longest common subsequence, removals before additions.
+
+    A row of the table of lengths is one integer: bit k of row i is 0 where q[-1 - k] makes the longest common subsequence of
+    p[i:] and q longer. Every so manieth row is kept and those between are made anew on the way, so memory grows as
+    len(q) * sqrt(len(p)) / 4 bytes at most.
+    """
+    n, m = len(p), len(q)
+    full, back = (1 << m) - 1, q[::-1]
+    hits = lambda i: int.from_bytes(np.packbits(back == p[i], bitorder="little").tobytes(), "little")
+    step = math.isqrt(n) + 1
+    row, kept = full, {n: full}
+    for i in range(n - 1, -1, -1):
+        row = grown(row, hits(i), full)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+    i, j, length = 0, 0, m - row.bit_count()  # length: of the longest common subsequence of p[i:] and q[j:]
+    while i < n and j < m:
+        if p[i] == q[j]:
+            yield " "
+            i, j, length = i + 1, j + 1, length - 1
+            continue
+        if i + 1 not in rows:
+            last = min(i // step * step + step, n)
+            rows = {last: kept[last]}
+            for k in range(last - 1, i, -1):
+                rows[k] = grown(rows[k + 1], hits(k), full)
+        below = rows[i + 1]
+        rest = m - j - (below & (1 << m - j) - 1).bit_count()  # as length, of p[i + 1:]
+        while j < m and p[i] != q[j] and rest < length:
+            yield "+"
+            rest -= ~below >> m - 1 - j & 1
+            j += 1
+        if j < m and p[i] != q[j]:
+            yield "-"
+            i += 1
+    yield from "-" * (n - i) + "+" * (m - j)
+
+
+def diff(before: str, after: str, most: int | None = MAX_CELLS) -> list[tuple[str, str]]:
+    """(op, line) with op space, minus or plus; removals come before additions. most: cells above which the changed middle is one block; None for no such switch."""
     a, b = lines_of(before), lines_of(after)
     least = min(len(a), len(b))
     head = next((i for i in range(least) if a[i] != b[i]), least)
     tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
     same, x, y = [(" ", t) for t in a[:head]], a[head : len(a) - tail], b[head : len(b) - tail]
     end = [(" ", t) for t in a[len(a) - tail :]]
-    if not x or not y or len(x) * len(y) > MAX_CELLS:
+    if not x or not y or (most is not None and len(x) * len(y) > most):
         return same + [("-", t) for t in x] + [("+", t) for t in y] + end
     ids: dict[str, int] = {}
     p, q = (np.array([ids.setdefault(t, len(ids)) for t in side]) for side in (x, y))
-    # common[i, j]: longest common subsequence of x[i:] and y[j:]; a row is a running maximum from the right
-    common = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        row = np.where(q == p[i], common[i + 1, 1:] + 1, common[i + 1, :-1])
-        common[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if p[i] == q[j]:
-            out.append((" ", x[i]))
-            i, j = i + 1, j + 1
-        elif common[i + 1, j] >= common[i, j + 1]:
-            out.append(("-", x[i]))
-            i += 1
-        else:
-            out.append(("+", y[j]))
-            j += 1
-    return same + out + [("-", t) for t in x[i:]] + [("+", t) for t in y[j:]] + end
+    for op in walk(p, q):
+        out.append((op, y[j] if op == "+" else x[i]))
+        i, j = i + (op != "+"), j + (op != "-")
+    return same + out + end
 
 
-def hunks(before: str, after: str) -> list[dict]:
+def hunks(before: str, after: str, most: int | None = MAX_CELLS) -> list[dict]:
     """Runs of change with their line ranges on both sides, end exclusive: the islands of changed rows in the line column."""
-    rows = diff(before, after)
+    rows = diff(before, after, most)
     op = np.array([o for o, _ in rows], dtype=object)
     # how many lines of each side stand before a row
     a, b = (np.concatenate([[0], np.cumsum(op != other, dtype=np.int64)]) for other in ("+", "-"))
@@ -101,10 +136,10 @@ def changed(h: dict) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(h["removed"]), tuple(h["added"])
 
 
-def pending(before: str, after: str, doc: str) -> list[dict]:
+def pending(before: str, after: str, doc: str, most: int | None = MAX_CELLS) -> list[dict]:
     """The hunks of the document that are, line for line, hunks of the change from before to after: a semi-join by content."""
-    made = {changed(h) for h in hunks(before, after)}
-    return [h for h in hunks(before, doc) if changed(h) in made]
+    made = {changed(h) for h in hunks(before, after, most)}
+    return [h for h in hunks(before, doc, most) if changed(h) in made]
 
 
 def less(before: str, after: str, chosen: list[dict]) -> str:
@@ -226,7 +261,8 @@ REVIEWED = "path string, action string, before string, after string, doc string,
 
 def reviewed(action: str, before: str, after: str, doc: str, hunk: str | None) -> dict:
     """The baseline, the written version and the document after an action; open: whether the two versions still differ."""
-    chosen = [h for h in pending(before, after, doc) if not hunk or json.dumps(list(map(list, changed(h)))) == hunk]
+    most = None if action == "accept" else MAX_CELLS
+    chosen = [h for h in pending(before, after, doc, most) if not hunk or json.dumps(list(map(list, changed(h)))) == hunk]
     if action == "accept":
         before = spliced(before, [(h["before_start"], h["before_end"], list(h["added"])) for h in chosen])
     elif action == "reject":
@@ -239,7 +275,7 @@ def reviewed(action: str, before: str, after: str, doc: str, hunk: str | None) -
 def review(rows: DataFrame) -> DataFrame:
     """(path, action, before, after, doc, kind, open) of rows (path, action, before, after, doc, hunk) after their actions.
 
-    accept takes what is pending into the baseline, and the document stays; reject takes it out of the
+    accept takes what is pending into the baseline, line by line however large the texts, and the document stays; reject takes it out of the
     written version and puts it back in the document. hunk, JSON of [removed, added], limits the action to
     hunks of that content. A row is open while the baseline and the written version differ; the reader's
     own edits are in the document only and keep nothing open. Any other action raises.
