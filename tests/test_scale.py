@@ -61,3 +61,50 @@ def test_one_note_meets_the_others_stems_in_one_pass(spark):
     near = pairs.related_all(i, "n000.md")
     assert "LeftSemi" not in plan(near)
     assert [(r.path, r.score, r.overlap) for r in near.orderBy("path").collect()] == [("n001.md", 0.75, 0.75), ("n002.md", 0.25, 0.25)]
+
+
+def test_notes_go_to_blocks_as_packed_numbers_of_the_stems_that_others_have(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(pairs, "kept", lambda df, name: written.setdefault(name, storage.kept(df, name)))
+    texts = [" ".join([f"{a}{b}{c}ord" for a in "bcdfg" for b in "aeiou" for c in "klmn" if (ord(a) + ord(b) + i) % 3] + [f"only{'abcdefgh'[i]}x"]) for i in range(8)]
+    i = index.build(noted(spark, texts).withColumn("mtime", F.lit(1)), [], "en")
+    pairs.block_pairs(i, 0.2, 0.1)
+    for r in written["pair-sets"].collect():
+        assert r.told > 60 and len(r.stems) <= r.told - 1  # a byte for a stem, none for the one that no other note has
+        assert r.size == 30 and len(r.top) <= 30
+
+
+def test_packed_sets_come_back_sorted():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = [[5, 1, 300], [], [2**31 - 1], [127, 128, 16383, 16384, 1 << 21], [], [1]]
+    packed = pairs.pack(pa.array(sets, pa.list_(pa.int32())))
+    numbers, lengths = pairs.unpack(packed)
+    assert [x.tolist() for x in np.split(numbers, np.cumsum(lengths)[:-1])] == [sorted(x) for x in sets]
+    numbers, lengths = pairs.unpack(packed.slice(2, 2))
+    assert lengths.tolist() == [1, 5] and numbers[0] == 2**31 - 1
+    assert len(pairs.unpack(pairs.pack(pa.array([[], []], pa.list_(pa.int32()))))[0]) == 0
+
+
+def test_shared_stems_are_counted_alike_by_lines_by_lists_and_by_the_notes_own():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    of = lambda n, most: [np.sort(draw.choice(np.arange(1, 900), draw.integers(0, most), replace=False)) for _ in range(n)]
+    flat = lambda sets: (np.concatenate(sets).astype(np.int64), np.array([len(x) for x in sets]))
+    for most, share in ((30, 8), (700, 2), (700, 64)):
+        left, right = of(9, most), of(40, most)
+        block = pairs.Block(flat(right), share)
+        block.ask(flat(left))
+        for a, own in enumerate(left):
+            want = [len(np.intersect1d(own, x)) for x in right]
+            assert block.every(a).tolist() == want
+            assert block.some(a, np.array([3, 7])).tolist() == [want[3], want[7]]
+
+
+def test_ratios_are_rounded_as_decimals_are(spark):
+    from vellum.plans import catalogue
+
+    rows = spark.range(1, 400).withColumnRenamed("id", "m").crossJoin(spark.range(0, 400).withColumnRenamed("id", "k")).filter("k <= m").select((F.col("k") / F.col("m")).alias("x"), F.round(F.col("k") / F.col("m"), 6).alias("want"))
+    assert catalogue.rounded_ratio(rows, "x").filter("x <> want").count() == 0
