@@ -108,3 +108,28 @@ def test_ratios_are_rounded_as_decimals_are(spark):
 
     rows = spark.range(1, 400).withColumnRenamed("id", "m").crossJoin(spark.range(0, 400).withColumnRenamed("id", "k")).filter("k <= m").select((F.col("k") / F.col("m")).alias("x"), F.round(F.col("k") / F.col("m"), 6).alias("want"))
     assert catalogue.rounded_ratio(rows, "x").filter("x <> want").count() == 0
+
+
+def test_links_are_found_without_a_pattern_for_each_title(monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    text = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    for _ in range(3000):
+        body, title = text(30, "aAbBéß[]_ 1"), text(draw.randrange(2, 5), "aAbBéß _")
+        assert list(mentions.found_plain(body, body.lower(), title)) == list(mentions.found_any(body, title))
+    assert [mentions.plain(t) for t in ("Straße É", "\u017fea", "\u03a3", "\u03c3\u03b1\u03c2", "\u0131", "\u212a", "\u00b5")] == [True, False, True, False, False, False, False]
+    assert mentions.linked_body("the ſea", "x", ["sea"]) == ("the [[sea]]", ["sea"])
+    monkeypatch.setattr(mentions, "found_any", None)
+    assert mentions.linked_body("The deep sea, Sea and `Sea`", "x", ["sea", "deep sea"]) == ("The [[deep sea]], [[sea]] and `Sea`", ["deep sea", "sea"])
+
+
+def test_what_is_ahead_of_a_start_is_the_same_by_one_pattern_and_by_pieces(spark, monkeypatch):
+    notes = noted(spark, ["alpha, beta gamma\nalpha", "_beta [gamma]] x", "caf\u00e9 \u00e9t\u00e9 b\u00e9", "", None, "alphabetical", "x" * 400 + " beta"])
+    titles = spark.createDataFrame([("alpha",), ("beta gamma",), ("gamma]] x",), ("caf\u00e9 \u00e9t\u00e9",), ("b\u00e9",), ("x x",), ("be",), ("a\nb",)], "title string")
+    got = []
+    for most in (256, 1):
+        monkeypatch.setattr(mentions, "AHEAD", most)
+        got.append([sorted(map(tuple, mentions.mentions(notes, titles, p).collect())) for p in (mentions.INDEX_PIECE, mentions.LINK_PIECE)])
+    assert got[0] == got[1] and ("beta gamma", "n000.md") in got[0][0] and ("caf\u00e9 \u00e9t\u00e9", "n002.md") in got[0][1]
+    assert "transform" not in plan(mentions.mentions(notes, titles, mentions.LINK_PIECE)) or mentions.AHEAD == 1
