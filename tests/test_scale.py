@@ -133,3 +133,26 @@ def test_what_is_ahead_of_a_start_is_the_same_by_one_pattern_and_by_pieces(spark
         got.append([sorted(map(tuple, mentions.mentions(notes, titles, p).collect())) for p in (mentions.INDEX_PIECE, mentions.LINK_PIECE)])
     assert got[0] == got[1] and ("beta gamma", "n000.md") in got[0][0] and ("caf\u00e9 \u00e9t\u00e9", "n002.md") in got[0][1]
     assert "transform" not in plan(mentions.mentions(notes, titles, mentions.LINK_PIECE)) or mentions.AHEAD == 1
+
+
+def test_no_pair_is_shuffled_to_meet_the_written_links(spark, monkeypatch):
+    from vellum.operators import graph, signals
+
+    words = [f"w{chr(97 + i)}x{chr(97 + j)}" for i in range(6) for j in range(5)]
+    texts = [" ".join(words[(k + i // 2) % len(words)] for k in range(12)) for i in range(14)]
+    i = index.build(noted(spark, texts).withColumn("mtime", F.lit(1)), [], "en")
+    links = spark.createDataFrame([("n001.md", "n000.md", 1), ("n003.md", "n005.md", 2), ("n004.md", "gone.md", 1), ("n002.md", "n006.md", 0)], "src string, dst string, n long")
+    every = {tuple(r) for r in pairs.edges(i).select("a", "b").collect()}
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(storage, "BROADCAST", 0)
+    found = graph.graph_edges(i, links)
+    assert "Join" not in plan(found)
+    got = {(r.a, r.b): r.inferred for r in found.collect()}
+    known = {("n000.md", "n001.md"), ("n003.md", "n005.md"), ("gone.md", "n004.md")}
+    assert {("n000.md", "n001.md"), ("n003.md", "n005.md"), ("n002.md", "n006.md")} <= every
+    assert got == {k: k not in known for k in every | known}
+    told = pairs.block_pairs(i, 0.1, 0.1, signals.written(links))
+    assert {(r.a, r.b) for r in told.filter("known").collect()} == known - {("gone.md", "n004.md")}
+    monkeypatch.setattr(storage, "BROADCAST", 64 << 20)
+    lines = plan(signals.queue_signals(i, links, spark.createDataFrame([], "src string, target string, n long"))).splitlines()
+    assert not any("SortMergeJoin" in x and "LeftOuter" in x for x in lines)
